@@ -32,7 +32,7 @@ def _reader():
     from datetime import datetime, timedelta, timezone
     from zoneinfo import ZoneInfo
 
-    clock = r"(?P<H>\d{1,2}):(?P<M>\d{2}):(?P<S>\d{2})(?:[.,](?P<f>\d+))?(?:\s*(?P<ap>[AaPp][Mm]))?"
+    clock = r"(?P<H>\d{1,2}):(?P<M>\d{2}):(?P<S>\d{2})(?:[.,](?P<f>\d+))?(?:\s*(?P<ap>[AaPp][Mm])(?![A-Za-z]))?"
     zone = r"(?:\s*(?P<off>[Zz]|[+-]\d{2}(?::?\d{2})?))?(?:\s*(?P<let>[A-Za-z]{2,6})(?![A-Za-z_/]))?(?:\s*\[?(?P<name>[A-Za-z_]+(?:/[A-Za-z0-9_+-]+)+)\]?)?\s*$"
     makes = [
         ("iso", re.compile(r"\s*(?P<Y>\d{4})-(?P<m>\d{2})-(?P<d>\d{2})(?:[Tt]|\s+)" + clock + zone)),
