@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairloom.operators.drift import changes, ingest
 from pairloom.operators.timestamps import capture_timestamps
 from pairloom.operators.tool_calls import linked_calls
 from pairloom.plans.registry import Registry
+from pairloom.scratch import spool
 from pairloom.session import table
 
 REGISTRY = Registry()
@@ -43,6 +45,15 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return read.where("status = 'ok'").select("table_name", F.col("row_id").cast("long").alias("row_id"), "sequence_index", "utc_us")
 
 
+@REGISTRY.add("p3_found")
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every change between consecutive files of a stream, from the rescued ingestion of their records."""
+    files = table(spark, folder, "capture_files")
+    rows = spool(ingest(files), "capture_files")
+    changed = changes(files, rows)
+    return changed.select("stream", F.col("file_no").cast("long").alias("file_no"), "change", "field", "new_field")
+
+
 @REGISTRY.add("p7_found", P7_SQL)
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every executed call with what it belongs to."""
