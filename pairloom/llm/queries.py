@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairloom.llm.dialogues import dialogues, sound_turns
+from pairloom.llm.history import replay_batches, rows_of
 from pairloom.llm.sketch import call_sketches, merge, percentiles
 from pairloom.llm.topn import first_of_repeats, top_n
 from pairloom.plans.registry import Registry
@@ -24,6 +26,43 @@ SELECT prompt_id, evaluator_name, rank_no, reg_id FROM (
 ) WHERE rank_no <= 5
 """
 
+P6_TURNS = r"""
+WITH RECURSIVE one AS (
+  SELECT capture_id, min(conversation_id) AS conversation_id, CAST(min(turn_index) AS BIGINT) AS turn_index, min(parent_capture_id) AS parent
+  FROM multi_round_tools WHERE capture_id IS NOT NULL GROUP BY capture_id
+), c AS (
+  SELECT capture_id, conversation_id FROM one WHERE conversation_id IS NOT NULL
+  UNION SELECT o.capture_id, c.conversation_id FROM one o JOIN c ON o.parent = c.capture_id WHERE o.conversation_id IS NULL
+), p AS (
+  SELECT capture_id, turn_index AS place FROM one WHERE turn_index IS NOT NULL
+  UNION SELECT o.capture_id, p.place + 1 FROM one o JOIN p ON o.parent = p.capture_id WHERE o.turn_index IS NULL
+), t AS (
+  SELECT c.conversation_id, c.capture_id, o.parent, p.place,
+    lag(c.capture_id) OVER (PARTITION BY c.conversation_id ORDER BY p.place, c.capture_id) AS before
+  FROM c JOIN one o USING (capture_id) LEFT JOIN p USING (capture_id)
+), m AS (
+  SELECT capture_id FROM (
+    SELECT capture_id, CASE lower(trim(role)) WHEN 'human' THEN 'user' WHEN 'model' THEN 'assistant' ELSE lower(trim(role)) END AS r
+    FROM chat_messages WHERE regexp_matches(content, '\S')
+  ) GROUP BY capture_id HAVING bool_or(r = 'user') AND bool_or(r = 'assistant')
+), s AS (
+  SELECT conversation_id, min(place) AS first FROM t LEFT JOIN m USING (capture_id)
+  GROUP BY conversation_id
+  HAVING count(place) = count(*) AND count(DISTINCT place) = count(*) AND max(place) - min(place) + 1 = count(*)
+    AND bool_and(parent IS NULL OR coalesce(parent = before, false)) AND count(m.capture_id) = count(*)
+), turns AS (SELECT conversation_id, place - first AS turn_no, capture_id FROM t JOIN s USING (conversation_id))
+"""
+
+P6_SQL = P6_TURNS + "SELECT conversation_id, turn_no, capture_id FROM turns"
+
+P6_DIALOGUES_SQL = P6_TURNS + r"""
+SELECT conversation_id, turn_no, seq, message_id, role, content FROM turns JOIN (
+  SELECT DISTINCT message_id, capture_id, seq, content,
+    CASE lower(trim(role)) WHEN 'human' THEN 'user' WHEN 'model' THEN 'assistant' ELSE lower(trim(role)) END AS role
+  FROM chat_messages WHERE regexp_matches(content, '\S')
+) USING (capture_id)
+"""
+
 # The sketch must give the middle of the bucket that holds the exact nearest-rank value.
 P5_SQL = """
 WITH once AS (
@@ -44,6 +83,12 @@ SELECT prompt_id, metric, n, round({p50}, 6) AS p50, round({p90}, 6) AS p90, rou
 """.format(**{p: f"sign({p}) * 2 / (1 + 1.01e0 / 0.99e0) * exp(ceil(ln(CASE WHEN {p} = 0 THEN 1 ELSE abs({p}) END) / ln(1.01e0 / 0.99e0)) * ln(1.01e0 / 0.99e0))" for p in ("p50", "p90", "p95", "p99")})
 
 
+@REGISTRY.add("p1_found")
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every later row that repeats an accepted one, batch after batch against the index of what is accepted."""
+    return replay_batches(rows_of(table(spark, folder, "golden"), table(spark, folder, "multi_round_tools")))
+
+
 @REGISTRY.add("p4_found", P4_SQL)
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """The five worst regressions of every prompt and evaluator."""
@@ -61,3 +106,15 @@ def p5_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     keys = ["prompt_id", "metric"]
     out = percentiles(merge(runs, keys), keys, {"p50": 500, "p90": 900, "p95": 950, "p99": 990})
     return out.select(*keys, "n", *[F.round(p, 6).alias(p) for p in ("p50", "p90", "p95", "p99")])
+
+
+@REGISTRY.add("p6_found", P6_SQL)
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every turn of every sound conversation."""
+    return sound_turns(table(spark, folder, "multi_round_tools"), table(spark, folder, "chat_messages"))
+
+
+@REGISTRY.add("p6_dialogues", P6_DIALOGUES_SQL)
+def p6_dialogues(spark: SparkSession, folder: str) -> DataFrame:
+    """The messages of the sound conversations, in order and with clean roles."""
+    return dialogues(table(spark, folder, "multi_round_tools"), table(spark, folder, "chat_messages"))

@@ -25,7 +25,6 @@ SLOTS = 32
 PIECE = 6
 
 
-@F.pandas_udf("bigint")
 def ordered_code(score: pd.Series) -> pd.Series:
     """A double's bits as an integer of the same order (the input has no nulls and no NaN)."""
     bits = (score.to_numpy("float64") + 0.0).view("int64")
@@ -99,7 +98,7 @@ def top_n(df: DataFrame, groups: list[str], score: str, identifier: str, last: s
     gs = list(own.values())
     rows = spool(
         kept.select(*[F.col(c).alias(g) for c, g in own.items()], F.col(score).cast("double").alias("score"), F.col(identifier).alias("identifier"), F.col(last).cast("bigint").alias("last"))
-        .withColumn("score_code", ordered_code("score")),
+        .withColumn("score_code", F.pandas_udf(ordered_code, "bigint")("score")),
         "topn-rows",
     )
     longest = rows.agg(F.max(F.octet_length("identifier"))).first()[0] or 0
