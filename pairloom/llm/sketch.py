@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RELATIVE_ERROR = 0.01
+#: Partial sketches a run and prompt, so that a huge one is spread over as many tasks.
+PARTS = 16
 
 
 def growth(error: float = RELATIVE_ERROR) -> float:
@@ -66,17 +68,19 @@ def percentiles(sketches: DataFrame, keys: list[str], per_mille: dict[str, int],
 
 
 def call_sketches(calls: DataFrame, error: float = RELATIVE_ERROR) -> DataFrame:
-    """Partial sketches a run: run_id, prompt_id, metric, sign, bucket, n.
+    """Partial sketches a run: run_id, prompt_id, part, metric, sign, bucket, n.
 
-    A call appended twice (same run, prompt, example, role and sample) counts once. A latency below zero means "not
+    The one exchange, by run, prompt and part, serves the removal of repeats and the counting alike. A call appended twice (same run, prompt, example, role and sample) counts once. A latency below zero means "not
     measured" and is left out; costs of zero count.
     """
     key = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in ("example_id", "role", "sample_index")]
     once = (
-        calls.select("run_id", "prompt_id", F.xxhash64(F.lit(1), *key).alias("_a"), F.xxhash64(F.lit(2), *reversed(key)).alias("_b"), F.col("latency_ms").cast("double").alias("latency_ms"), "cost_usd")
-        .groupBy("run_id", "prompt_id", "_a", "_b")
+        calls.select("run_id", "prompt_id", F.xxhash64(F.lit(1), *key).alias("_a"), F.xxhash64(F.lit(2), *reversed(key)).alias("_b"), "latency_ms", "cost_usd")
+        .withColumn("part", F.pmod("_a", F.lit(PARTS)).cast("int"))
+        .repartition("run_id", "prompt_id", "part")
+        .groupBy("run_id", "prompt_id", "part", "_a", "_b")
         .agg(F.max("latency_ms").alias("latency_ms"), F.min("cost_usd").alias("cost_usd"))
     )
-    latency = F.when(F.col("latency_ms") >= 0, F.col("latency_ms"))
+    latency = F.when(F.col("latency_ms") >= 0, F.col("latency_ms").cast("double"))
     metrics = F.array(F.struct(F.lit("latency_ms").alias("metric"), latency.alias("value")), F.struct(F.lit("cost_usd").alias("metric"), F.col("cost_usd").alias("value")))
-    return sketch(once.select("run_id", "prompt_id", F.inline(metrics)), ["run_id", "prompt_id", "metric"], "value", error)
+    return sketch(once.select("run_id", "prompt_id", "part", F.inline(metrics)), ["run_id", "prompt_id", "part", "metric"], "value", error)
