@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.dialogues import dialogues, sound_turns
 from pairloom.llm.history import replay_batches, rows_of
+from pairloom.llm.mixing import mix, shares
+from pairloom.llm.reading import reading_levels
 from pairloom.llm.sketch import call_sketches, merge, percentiles
+from pairloom.llm.tokenizer import encode
 from pairloom.llm.topn import first_of_repeats, top_n
 from pairloom.plans.registry import Registry
 from pairloom.session import table
@@ -118,3 +121,37 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 def p6_dialogues(spark: SparkSession, folder: str) -> DataFrame:
     """The messages of the sound conversations, in order and with clean roles."""
     return dialogues(table(spark, folder, "multi_round_tools"), table(spark, folder, "chat_messages"))
+
+
+@REGISTRY.add("p8_ids")
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document."""
+    return encode(table(spark, folder, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id", "text")
+
+
+@REGISTRY.add("p9_mix")
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of every mix and how often each is used."""
+    return mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+@REGISTRY.add("p9_shares")
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Wanted and reached share of every source in every mix."""
+    targets = table(spark, folder, "mix_targets")
+    return shares(mix(table(spark, folder, "documents"), targets), targets)
+
+
+@REGISTRY.add("p10_found")
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of English prose that need band 4 or 5."""
+    levels = reading_levels(table(spark, folder, "documents"), table(spark, folder, "reading_labels"))
+    return levels.where("prose and level >= 4").select(F.col("doc_id").cast("bigint").alias("doc_id"))
+
+
+@REGISTRY.add("p10_levels")
+def p10_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """Profile of the corpus: English prose documents of each source by reading level."""
+    documents = table(spark, folder, "documents")
+    levels = reading_levels(documents, table(spark, folder, "reading_labels")).where("prose")
+    return levels.join(documents.select("doc_id", "source"), "doc_id").groupBy("source", "level").agg(F.count("*").alias("documents"))
