@@ -157,11 +157,14 @@ def slash_orders(texts: DataFrame, sources: DataFrame) -> DataFrame:
         )
     )
     table = sources.join(counts, "source_id", "left").na.fill(0, ["day_first", "month_first", "either"])
-    # One weight a source suffices: w = share of day-first writing, 1 - w of month-first writing.
-    table = table.withColumn("w", F.lit(0.5))
+    # One weight a source suffices: w = share of day-first writing, 1 - w of month-first writing. A round is
+    # w = (day_first + either w) / total; it refers to w once, so that the rounds do not multiply in the plan.
     total = F.col("day_first") + F.col("month_first") + F.col("either")
+    table = table.withColumns({"_sure": F.when(total > 0, F.col("day_first") / total).otherwise(0.5), "_open": F.when(total > 0, F.col("either") / total).otherwise(0.0)})
+    weight = F.lit(0.5)
     for _ in range(EM_ROUNDS):
-        table = table.withColumn("w", F.when(total > 0, (F.col("day_first") + F.col("either") * F.col("w")) / total).otherwise(F.col("w")))
+        weight = F.col("_sure") + F.col("_open") * weight
+    table = table.withColumn("w", weight)
     chosen = (
         F.when(F.col("declared").isin("dmy", "mdy", "ymd"), F.col("declared"))
         .when(F.col("w") >= EM_CERTAIN, "dmy")
