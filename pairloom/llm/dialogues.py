@@ -39,25 +39,24 @@ def nearest_ancestor(rows: DataFrame) -> DataFrame:
     ``rows``: id (unique), parent, value. Returns id, value, steps for the rows whose value is null and whose chain
     reaches one. Pointer doubling: each round doubles the length of chain followed, and ends when none is left open.
     """
-    known = rows.where("value is not null").select(F.col("id").alias("at"), F.col("value").alias("found"))
+    found = rows.where("value is not null").select("id", "value", F.lit(0).cast("bigint").alias("steps"))
     lacking = rows.where("value is null and parent is not null")
-    pointers = spool(lacking.select("id", F.col("parent").alias("at"), F.lit(1).cast("bigint").alias("steps")), "chain")
-    done = []
-    bound = 1
-    total = pointers.count()
-    while total and bound <= 2 * total:
-        reached = pointers.join(known, "at").select("id", F.col("found").alias("value"), "steps")
-        done.append(reached)
-        jump = pointers.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("steps").alias("more"))
-        ahead = pointers.join(jump, "at").select("id", F.col("next").alias("at"), (F.col("steps") + F.col("more")).alias("steps"))
-        # A pointer at a row with a value is finished; one at an open row jumps; one at a missing row is dropped.
-        pointers = spool(ahead, "chain")
+    pointers = spool(lacking.select("id", F.col("parent").alias("at"), F.lit(1).cast("bigint").alias("more")), "chain")
+    out = found.limit(0)
+    reach, total = 1, pointers.count()
+    # A chain is no longer than the rows without a value; pointers still open beyond that run in a circle.
+    while total and reach <= 2 * total:
+        # A pointer at a row resolved before is resolved too; one at a row resolved just now waits for the next round;
+        # one at an open row jumps where that one points; one at no row is dropped.
+        solved = spool(pointers.join(found.withColumnRenamed("id", "at"), "at").select("id", "value", (F.col("steps") + F.col("more")).alias("steps")), "chain-solved")
+        out, found = out.unionByName(solved), found.unionByName(solved)
+        left = pointers.join(solved.select("id"), "id", "left_anti")
+        jump = left.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("more").alias("further"))
+        stay = solved.select(F.col("id").alias("at"), F.col("id").alias("next"), F.lit(0).cast("bigint").alias("further"))
+        pointers = spool(left.join(jump.unionByName(stay), "at").select("id", F.col("next").alias("at"), (F.col("more") + F.col("further")).alias("more")), "chain")
         if pointers.isEmpty():
             break
-        bound *= 2
-    out = rows.select("id", "value", F.lit(0).cast("bigint").alias("steps")).limit(0)
-    for part in done:
-        out = out.unionByName(part)
+        reach *= 2
     return out
 
 
