@@ -134,12 +134,18 @@ def with_features(rows: DataFrame) -> DataFrame:
     return f.select("row_id", "batch_no", F.array_compact(F.array(*digest[:2])).alias("keys"), digest[2].alias("text_key"), "words", "s0", "s1")
 
 
-def near(left: DataFrame, docs: DataFrame) -> DataFrame:
-    """Verified near-identical pairs among candidates. ``left``: doc, words, s0, s1, other. Returns doc, other."""
-    d = docs.select(F.col("doc").alias("other"), F.col("words").alias("other_words"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))
+def near(candidates: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """Verified near-identical pairs among ``candidates`` (doc, s0, s1, other). Returns doc, other.
+
+    ``texts`` holds the documents of ``doc`` and ``docs`` those of ``other``. Sketches are compared first, so words
+    travel only for the few pairs that pass.
+    """
+    sketches = docs.select(F.col("doc").alias("other"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))
     alike = F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) <= SKETCH - AGREE
+    passed = candidates.join(sketches, "other").where(alike).select("doc", "other")
+    worded = passed.join(docs.select(F.col("doc").alias("other"), F.col("words").alias("other_words")), "other").join(texts.select("doc", "words"), "doc")
     common = F.size(F.array_intersect("words", "other_words"))
-    return left.join(d, "other").where(alike).where(common * 5 >= F.greatest(F.size("words"), F.size("other_words")) * 4).select("doc", "other")
+    return worded.where(common * 5 >= F.greatest(F.size("words"), F.size("other_words")) * 4).select("doc", "other")
 
 
 class History:
@@ -170,8 +176,7 @@ class History:
         keys = rows.select("row_id", F.explode(F.concat("keys", F.array_compact(F.array("text_key")))).alias("key"))
         self._append("ids", keys.groupBy("key").agg(F.min("row_id").alias("row_id")), "key")
         if classes is None:
-            classes = classes_of(rows)
-            bands = None
+            classes, bands = spool(classes_of(rows), "history-classes"), None
         self._append("docs", classes.select("doc", "words", "s0", "s1"), "doc")
         bands = bands if bands is not None else banded(classes)
         self._append("bands", bands.select("band", "doc"), "band")
@@ -186,9 +191,8 @@ class History:
         # Near texts in the history and, in the same candidate set, among the batch's own texts.
         old = bands.hint("shuffle_hash").join(self._table("bands").withColumnRenamed("doc", "other"), "band").select("doc", "s0", "s1", "other")
         own = bands.join(bands.select("band", F.col("doc").alias("other")), "band").where("other < doc").select("doc", "s0", "s1", "other")
-        words = classes.select("doc", "words")
-        found_old = near(old.distinct().join(words, "doc"), self._table("docs"))
-        found_own = near(own.distinct().join(words, "doc"), classes)
+        found_old = near(old.distinct(), classes, self._table("docs"))
+        found_own = near(own.distinct(), classes, classes)
         pairs = spool(found_old.withColumn("old", F.lit(True)).unionByName(found_own.withColumn("old", F.lit(False))), "batch-pairs")
 
         keys = batch.select("row_id", "text_key", F.explode(F.concat("keys", F.array_compact(F.array("text_key")))).alias("key"))
@@ -220,7 +224,6 @@ class History:
         shared = linked.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
         links = spool(linked.join(shared, "key"), "batch-links")
         state = links.select("row_id").distinct().withColumn("accepted", F.lit(None).cast("boolean"))
-        state = spool(state, "batch-state")
         while not state.where("accepted is null").isEmpty():
             now = links.join(state, "row_id")
             owners = now.where("own").groupBy("key").agg(F.min(F.when(F.col("accepted"), F.col("row_id"))).alias("first_in"), F.min(F.when(F.col("accepted").isNull(), F.col("row_id"))).alias("first_open"))
