@@ -6,6 +6,7 @@ keep their columns prunable and are compressed. Only where the setting is absent
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,7 +35,25 @@ def spool(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._scratch_path = path
+    return stored
+
+
+def forget(*stored: DataFrame) -> None:
+    """Delete spooled tables that nothing reads any more."""
+    for df in stored:
+        discard(df.sparkSession, df._scratch_path)
+
+
+def release(spark: SparkSession) -> None:
+    """Between the steps of a long loop: let go of finished plans, their compiled code and their shuffle files.
+
+    Spark deletes shuffle files only once the driver's JVM has collected the plans that own them, and the plans live as
+    long as Python's references to them.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def discard(spark: SparkSession, path: str) -> None:
