@@ -90,7 +90,7 @@ def ingest(files: DataFrame, target: dict[str, str] = TARGET) -> DataFrame:
                 size = 0 if not value or not math.isfinite(value) else math.floor(math.log2(abs(value)) / 2)
                 return "number", f"{'-' if value < 0 else ''}{'.' if value != value // 1 else ''}{size}"
             if isinstance(value, str):
-                return "string", piece.sub(shape, value[:200])
+                return "string", piece.sub(shape, value)
             return "array", f"[{describe(value[0])[1] if value and not isinstance(value[0], dict) else ''}]"
 
         def cast(value, kind: str) -> tuple[object, bool]:

@@ -805,3 +805,111 @@ def w14_cap_stream(spark: SparkSession, folder: str) -> DataFrame:
 def e23_requested_disagreement(spark: SparkSession, folder: str) -> DataFrame:
     """Captures that executed something else than was requested."""
     return sides(spark, folder).where("requested <> executed and size(requested) > 0").select("row_id")
+
+
+# ---------------------------------------------------------------- further rollups and functions
+
+
+@REGISTRY.add("failed_scores", f"WITH {SAMPLES} SELECT prompt_id, evaluator_name, count(*) AS n, count(error) AS errors FROM samples WHERE delta < 0 OR error IS NOT NULL GROUP BY ALL")
+def failed_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores that regressed or failed, by prompt and evaluator."""
+    return V.samples(spark, folder).where("delta < 0 or error is not null").groupBy("prompt_id", "evaluator_name").agg(F.count("*").alias("n"), F.count("error").alias("errors"))
+
+
+@REGISTRY.add("a12_divergence_counts", f"""WITH {SCORES} SELECT prompt_id, count(*) AS total, count(*) FILTER (delta < 0) AS diverged, count(*) FILTER (target_score < 0.5) AS below_floor
+FROM scores WHERE error IS NULL AND kind = 'tool_selection.divergence' GROUP BY ALL""")
+def a12_divergence_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Diverging tool selections of every prompt."""
+    s = L.reduce_samples(V.samples(spark, folder)).where("error is null and kind = 'tool_selection.divergence'")
+    return s.groupBy("prompt_id").agg(F.count("*").alias("total"), F.count_if(F.col("delta") < 0).alias("diverged"), F.count_if(F.col("target_score") < 0.5).alias("below_floor"))
+
+
+@REGISTRY.add("a26_source_conformance", f"""WITH {SCORES} SELECT prompt_id, count(*) AS n, round(count(*) FILTER (source_score < 1) / count(*), 10) AS missed
+FROM scores WHERE error IS NULL AND kind = 'tool_selection.conformance' GROUP BY ALL HAVING count(*) >= 4""")
+def a26_source_conformance(spark: SparkSession, folder: str) -> DataFrame:
+    """How often the source itself misses the expected tools, for prompts with four rows or more."""
+    s = L.reduce_samples(V.samples(spark, folder)).where("error is null and kind = 'tool_selection.conformance'")
+    return s.groupBy("prompt_id").agg(F.count("*").alias("n"), F.round(F.count_if(F.col("source_score") < 1) / F.count("*"), 10).alias("missed")).where("n >= 4")
+
+
+@REGISTRY.add("t9_tag_list", "SELECT DISTINCT unnest(tags) AS tag FROM golden")
+def t9_tag_list(spark: SparkSession, folder: str) -> DataFrame:
+    """All tags of the suite."""
+    return table(spark, folder, "golden").select(F.explode("tags").alias("tag")).distinct()
+
+
+@REGISTRY.add("o10_unique_tags", "SELECT row_id, len(list_distinct(tags)) AS tags, len(tags) - len(list_distinct(tags)) AS repeats FROM golden WHERE tags IS NOT NULL")
+def o10_unique_tags(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct tags of a row and how many it repeats."""
+    d = F.size(F.array_distinct("tags")).cast("bigint")
+    return table(spark, folder, "golden").where("tags is not null").select("row_id", d.alias("tags"), (F.size("tags") - d).alias("repeats"))
+
+
+@REGISTRY.add("r11_calls_by_tool", f"WITH {EVENTS} SELECT name, count(*) AS calls, count(DISTINCT row_id) AS captures, count(call_id) AS identified FROM e WHERE type = 'tool_call' GROUP BY ALL")
+def r11_calls_by_tool(spark: SparkSession, folder: str) -> DataFrame:
+    """Executed calls of every tool; captures are counted from per-capture partial counts."""
+    ev = C.events(table(spark, folder, "multi_round_tools")).where("type = 'tool_call'")
+    per = ev.groupBy("name", "row_id").agg(F.count("*").alias("c"), F.count("call_id").alias("i"))
+    return per.groupBy("name").agg(F.sum("c").alias("calls"), F.count("*").alias("captures"), F.sum("i").alias("identified"))
+
+
+@REGISTRY.add("w13_merged_rounds", f"""WITH {EVENTS} SELECT row_id, count(*) FILTER (type = 'model_call') AS model_calls, CAST(coalesce(sum(input_tokens), 0) AS BIGINT) AS input_tokens,
+  CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS output_tokens, count(error) AS errors FROM e GROUP BY ALL""")
+def w13_merged_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens and errors of a capture, summed inside the row (no shuffle)."""
+    z = table(spark, folder, "multi_round_tools")
+    total = lambda c: F.aggregate(F.col(f"trace.events.{c}"), F.lit(0).cast("bigint"), lambda s, x: s + F.coalesce(x, F.lit(0)))
+    return z.where(F.size("trace.events.type") > 0).select(
+        "row_id", F.size(F.filter("trace.events.type", lambda t: t == "model_call")).cast("bigint").alias("model_calls"), total("input_tokens").alias("input_tokens"), total("output_tokens").alias("output_tokens"),
+        F.size(F.filter("trace.events.error", lambda x: x.isNotNull())).cast("bigint").alias("errors"),
+    )
+
+
+@REGISTRY.add("w12_newest_captures", """SELECT suite, row_id, place FROM (
+  SELECT suite, row_id, row_number() OVER (PARTITION BY suite ORDER BY row_id DESC) AS place FROM multi_round_tools) WHERE place <= 3""")
+def w12_newest_captures(spark: SparkSession, folder: str) -> DataFrame:
+    """The three newest captures of every suite: what a retention of three keeps."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("suite").orderBy(F.desc("row_id"))
+    return table(spark, folder, "multi_round_tools").select("suite", "row_id", F.row_number().over(w).cast("bigint").alias("place")).where("place <= 3")
+
+
+@REGISTRY.add("a31_generation_params", """SELECT k AS param, count(*) AS rows FROM (SELECT unnest(json_keys(generation_config)) AS k FROM golden WHERE json_valid(generation_config)) GROUP BY ALL""")
+def a31_generation_params(spark: SparkSession, folder: str) -> DataFrame:
+    """Generation parameters that suite rows ask for."""
+    return table(spark, folder, "golden").select(F.explode(F.json_object_keys("generation_config")).alias("param")).groupBy("param").agg(F.count("*").alias("rows"))
+
+
+@REGISTRY.add("x24_provenance", """SELECT row_id, CASE len(p) WHEN 0 THEN NULL WHEN 1 THEN p[1] ELSE 'mixed' END AS provenance FROM (
+  SELECT row_id, list_distinct(list_transform(expected_tools, lambda t: t.provenance)) AS p FROM golden WHERE expected_tools IS NOT NULL)""")
+def x24_provenance(spark: SparkSession, folder: str) -> DataFrame:
+    """Where the expected tools of a row come from: one origin, or mixed."""
+    p = F.array_distinct(F.filter("expected_tools.provenance", lambda x: x.isNotNull()))
+    return table(spark, folder, "golden").where("expected_tools is not null").select("row_id", F.when(F.size(p) == 1, F.get(p, F.lit(0))).when(F.size(p) > 1, "mixed").alias("provenance"))
+
+
+@REGISTRY.add("a30_suite_evaluators", """SELECT coalesce(bool_or(len(expected_tools) > 0 OR toolset_ref IS NOT NULL), false) AS selection,
+  coalesce(bool_or(len(list_filter(expected_tools, lambda t: t.arguments IS NOT NULL)) > 0), false) AS arguments, count(*) AS rows FROM golden""")
+def a30_suite_evaluators(spark: SparkSession, folder: str) -> DataFrame:
+    """Which evaluators a suite calls for."""
+    tools = (F.size("expected_tools") > 0) | F.col("toolset_ref").isNotNull()
+    with_arguments = F.size(F.filter("expected_tools", lambda t: t["arguments"].isNotNull())) > 0
+    off = F.lit(False)
+    return table(spark, folder, "golden").agg(F.coalesce(F.bool_or(tools), off).alias("selection"), F.coalesce(F.bool_or(with_arguments), off).alias("arguments"), F.count("*").alias("rows"))
+
+
+@REGISTRY.add("x5_slugs", "SELECT suite, regexp_replace(regexp_replace(lower(suite), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, count(*) AS documents FROM documents GROUP BY ALL")
+def x5_slugs(spark: SparkSession, folder: str) -> DataFrame:
+    """Names made of the documents' suites."""
+    from pairloom.functions.text import slug
+
+    return table(spark, folder, "documents").groupBy("suite").agg(F.count("*").alias("documents")).select("suite", slug(F.col("suite")).alias("slug"), "documents")
+
+
+@REGISTRY.add("x7_fingerprints")
+def x7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of the inputs of suite rows that do not depend on key order."""
+    from pairloom.functions.text import fingerprint
+
+    return table(spark, folder, "golden").select("row_id", fingerprint(F.col("inputs")).alias("fingerprint"))
