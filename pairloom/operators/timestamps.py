@@ -191,7 +191,8 @@ def normalise(texts: DataFrame, sources: DataFrame) -> DataFrame:
             status, make, micros = zip(*got) if got else ((), (), ())
             yield pd.DataFrame({"status": status, "make": make, "utc_us": pd.array(micros, dtype="Int64")})
 
-    return rows.withColumn("_read", read_all("text", "_zone", "_order")).select("*", "_read.*").drop("_read", "_zone", "_order")
+    # Marked as not deterministic, so that a later filter on the status does not run the reading twice.
+    return rows.withColumn("_read", read_all.asNondeterministic()("text", "_zone", "_order")).select("*", "_read.*").drop("_read", "_zone", "_order")
 
 
 def capture_timestamps(captures: DataFrame, traces: DataFrame, recorders: DataFrame) -> DataFrame:
