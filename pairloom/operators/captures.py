@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def events(captures: DataFrame) -> DataFrame:
-    """One row an event: row_id, capture_id, q (sequence_index), type, name, call_id, arguments, result, error, tokens."""
-    fields = ["sequence_index", "type", "name", "call_id", "arguments", "result", "error", "input_tokens", "output_tokens", "toolset_ref"]
-    zipped = F.arrays_zip(*[F.col(f"trace.events.{f}").alias(f) for f in fields])
-    return captures.select("row_id", "capture_id", "suite", F.explode(zipped).alias("e")).select("row_id", "capture_id", "suite", "e.*").withColumnRenamed("sequence_index", "q")
+FIELDS = ("type", "name", "call_id", "arguments", "result", "error", "input_tokens", "output_tokens", "toolset_ref")
+
+
+def events(captures: DataFrame, *fields: str) -> DataFrame:
+    """One row an event: row_id, q (sequence_index) and ``fields`` (FIELDS if none); only these are read."""
+    fields = fields or FIELDS
+    zipped = F.arrays_zip(F.col("trace.events.sequence_index").alias("q"), *[F.col(f"trace.events.{f}").alias(f) for f in fields])
+    return captures.select("row_id", F.explode(zipped).alias("e")).select("row_id", "e.*")
 
 
 def rounds(ev: DataFrame) -> DataFrame:

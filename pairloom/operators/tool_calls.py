@@ -30,7 +30,7 @@ def event_entities(captures: DataFrame) -> DataFrame:
 
 def message_calls(messages: DataFrame) -> DataFrame:
     """The tool calls of chat messages, shredded: capture_id, call_id, message_id (the smallest of the pair)."""
-    nodes = messages.where(F.size("tool_calls") > 0).select("capture_id", "message_id", F.explode("tool_calls.id").alias("call_id"))
+    nodes = messages.select("capture_id", "message_id", F.explode("tool_calls.id").alias("call_id"))
     return nodes.where("capture_id is not null and call_id is not null").groupBy("capture_id", "call_id").agg(F.min("message_id").cast("long").alias("message_id"))
 
 

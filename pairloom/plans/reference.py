@@ -90,7 +90,7 @@ FROM calls s JOIN calls t ON s.run_id IS NOT DISTINCT FROM t.run_id AND s.prompt
 WHERE s.role = 'source' AND t.role = 'target'""")
 def j1_pair_calls(spark: SparkSession, folder: str) -> DataFrame:
     """Source and target calls of one key."""
-    pairs = P.pair_roles(V.calls(spark, folder))
+    pairs = P.pair_roles(V.calls(spark, folder, "text", "latency_ms"))
     return pairs.select(*P.CALL_KEY, F.col("source.text").alias("source_text"), F.col("target.text").alias("target_text"), (F.col("target.latency_ms") - F.col("source.latency_ms")).alias("latency_change"))
 
 
@@ -100,7 +100,7 @@ def j1_pair_calls(spark: SparkSession, folder: str) -> DataFrame:
 SELECT p.*, e.id IS NOT NULL AS known, e.expected_tool_count, e.toolset_ref FROM p LEFT JOIN examples e ON e.id = p.example_id""")
 def j2_pairs_with_examples(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs with their suite example, unknown ones kept."""
-    pairs = P.with_examples(P.pair_roles(V.calls(spark, folder)).select(*P.CALL_KEY), V.examples(spark, folder))
+    pairs = P.with_examples(P.pair_roles(V.calls(spark, folder, "model_id")).select(*P.CALL_KEY), V.examples(spark, folder, "expected_tool_count", "toolset_ref"))
     return pairs.select(*P.CALL_KEY, "known", "example.expected_tool_count", "example.toolset_ref")
 
 
@@ -112,13 +112,13 @@ FROM calls GROUP BY ALL""")
 def call_flags(spark: SparkSession, folder: str) -> DataFrame:
     """Calls that succeeded, were truncated, replayed or came out empty, by role and model."""
     flags = ["succeeded", "truncated", "replayed", "empty"]
-    return P.call_flags(V.calls(spark, folder)).groupBy("role", "model_id").agg(F.count("*").alias("calls"), *[F.count_if(f).alias(f) for f in flags])
+    return P.call_flags(V.calls(spark, folder, "model_id", "text", "output_tokens", "error", "finish_reason", "cached", "cached_rounds")).groupBy("role", "model_id").agg(F.count("*").alias("calls"), *[F.count_if(f).alias(f) for f in flags])
 
 
 @REGISTRY.add("representative_calls", f"WITH {CALLS} SELECT run_id, prompt_id, example_id, role, model_id FROM calls WHERE sample_index = 0")
 def representative_calls(spark: SparkSession, folder: str) -> DataFrame:
     """Calls of the first sample."""
-    return P.representative(V.calls(spark, folder)).select("run_id", "prompt_id", "example_id", "role", "model_id")
+    return P.representative(V.calls(spark, folder, "model_id")).select("run_id", "prompt_id", "example_id", "role", "model_id")
 
 
 WORK = f"""WITH {CALLS}, {EXAMPLES}, p AS (SELECT DISTINCT suite AS prompt_id FROM multi_round_tools WHERE suite IS NOT NULL),
@@ -130,7 +130,7 @@ w AS (SELECT prompt_id, id AS example_id, sample_index, role FROM p, examples, (
 def j20_work_list(spark: SparkSession, folder: str) -> DataFrame:
     """Size of the work of every prompt, sample and role."""
     prompts = table(spark, folder, "multi_round_tools").where("suite is not null").select(F.col("suite").alias("prompt_id"))
-    return P.work_list(prompts, V.examples(spark, folder), 2).groupBy("prompt_id", "sample_index", "role").agg(F.count("*").alias("cells"))
+    return P.work_list(prompts, V.examples(spark, folder, "toolset_ref"), 2).groupBy("prompt_id", "sample_index", "role").agg(F.count("*").alias("cells"))
 
 
 @REGISTRY.add("pending_work", f"""WITH {CALLS}, {EXAMPLES}, w AS (SELECT DISTINCT prompt_id, example_id, sample_index, r.role FROM calls, (VALUES ('source'), ('target')) AS r(role) WHERE prompt_id IS NOT NULL)
@@ -138,7 +138,7 @@ SELECT prompt_id, role, count(*) AS pending FROM w WHERE NOT EXISTS (
   SELECT 1 FROM calls c WHERE c.prompt_id = w.prompt_id AND c.example_id = w.example_id AND c.sample_index = w.sample_index AND c.role = w.role) GROUP BY ALL""")
 def pending_work(spark: SparkSession, folder: str) -> DataFrame:
     """Counterparts that no run has made yet, by prompt and role."""
-    calls = V.calls(spark, folder).where("prompt_id is not null")
+    calls = V.calls(spark, folder, "model_id").where("prompt_id is not null")
     work = calls.select("prompt_id", "example_id", "sample_index").distinct().select("*", F.explode(F.array(F.lit("source"), F.lit("target"))).alias("role"))
     return P.pending(work, calls).groupBy("prompt_id", "role").agg(F.count("*").alias("pending"))
 
@@ -208,14 +208,14 @@ def a2_coverage(spark: SparkSession, folder: str) -> DataFrame:
 @REGISTRY.add("a3_slices", f"WITH {SLICED} SELECT slice_name, prompt_id, evaluator_name, kind, count(*) AS n FROM sliced WHERE error IS NULL GROUP BY ALL")
 def a3_slices(spark: SparkSession, folder: str) -> DataFrame:
     """Scores by overlapping slice."""
-    rows = L.slice_rows(L.reduce_samples(V.samples(spark, folder)), V.examples(spark, folder))
+    rows = L.slice_rows(L.reduce_samples(V.samples(spark, folder)), V.examples(spark, folder, "tags"))
     return rows.where("error is null").groupBy("slice_name", "prompt_id", "evaluator_name", "kind").agg(F.count("*").alias("n"))
 
 
 @REGISTRY.add("a4_unmeasured", f"WITH {SLICED} SELECT slice_name, prompt_id, evaluator_name, kind, count(*) AS unmeasured FROM sliced WHERE error IS NOT NULL GROUP BY ALL")
 def a4_unmeasured(spark: SparkSession, folder: str) -> DataFrame:
     """Unmeasured cells by slice."""
-    return L.unmeasured_by_slice(L.reduce_samples(V.samples(spark, folder)), V.examples(spark, folder))
+    return L.unmeasured_by_slice(L.reduce_samples(V.samples(spark, folder)), V.examples(spark, folder, "tags"))
 
 
 @REGISTRY.add("a5_slice_aggregates", f"""WITH {SLICED}
@@ -223,7 +223,7 @@ SELECT slice_name, count(*) AS n, round(avg(source_score), 10) AS source_mean, r
   round(min(delta), 10) AS delta_min, round(max(delta), 10) AS delta_max, round(coalesce(stddev_samp(delta), 0), 10) AS delta_std FROM sliced WHERE error IS NULL GROUP BY ALL""")
 def a5_slice_aggregates(spark: SparkSession, folder: str) -> DataFrame:
     """Aggregates of every slice."""
-    rows = L.slice_rows(L.reduce_samples(V.samples(spark, folder)), V.examples(spark, folder))
+    rows = L.slice_rows(L.reduce_samples(V.samples(spark, folder)), V.examples(spark, folder, "tags"))
     return L.slice_aggregates(rows).select("slice_name", "n", *rounded("source_mean", "target_mean", "delta_mean", "delta_min", "delta_max", "delta_std"))
 
 
@@ -234,14 +234,14 @@ r AS (SELECT *, row_number() OVER (PARTITION BY n, sig ORDER BY CASE slice_name
 SELECT a.slice_name, a.n, (SELECT count(*) FROM r b WHERE b.n = a.n AND b.sig = a.sig AND b.k > 1) AS collapsed FROM r a WHERE k = 1""")
 def o1_dedupe_slices(spark: SparkSession, folder: str) -> DataFrame:
     """Slices with the same content collapsed."""
-    rows = L.slice_rows(L.reduce_samples(V.samples(spark, folder)), V.examples(spark, folder))
+    rows = L.slice_rows(L.reduce_samples(V.samples(spark, folder)), V.examples(spark, folder, "tags"))
     return L.dedupe_slices(rows).select("slice_name", "n", F.size("collapsed").cast("bigint").alias("collapsed"))
 
 
 @REGISTRY.add("tag_examples", f"WITH {EXAMPLES} SELECT id, toolset_ref FROM examples WHERE list_contains(tags, 'travel')")
 def tag_examples(spark: SparkSession, folder: str) -> DataFrame:
     """Examples with a tag."""
-    return L.with_tag(V.examples(spark, folder), "travel").select("id", "toolset_ref")
+    return L.with_tag(V.examples(spark, folder, "tags", "toolset_ref"), "travel").select("id", "toolset_ref")
 
 
 MOMENTS = SLICED + """, m AS (
@@ -255,7 +255,7 @@ MOMENTS = SLICED + """, m AS (
 
 
 def comparisons(spark: SparkSession, folder: str) -> DataFrame:
-    return T.moments(L.slice_rows(L.reduce_samples(V.samples(spark, folder)), V.examples(spark, folder)))
+    return T.moments(L.slice_rows(L.reduce_samples(V.samples(spark, folder)), V.examples(spark, folder, "tags")))
 
 
 @REGISTRY.add("a6_comparisons", f"""WITH {MOMENTS}
@@ -269,7 +269,7 @@ def a6_comparisons(spark: SparkSession, folder: str) -> DataFrame:
 @REGISTRY.add("a7_paired_tests")
 def a7_paired_tests(spark: SparkSession, folder: str) -> DataFrame:
     """p-values of the paired tests, false-discovery correction and severity (SQL has no rank test)."""
-    rows = L.slice_rows(L.reduce_samples(V.samples(spark, folder)), V.examples(spark, folder))
+    rows = L.slice_rows(L.reduce_samples(V.samples(spark, folder)), V.examples(spark, folder, "tags"))
     tested = T.paired_tests(rows).select(*T.GROUP, "test", "statistic", "p", F.col("d_low").alias("low"), F.col("d_high").alias("high"))
     every = T.moments(rows).join(tested, T.GROUP, "left")
     q = T.benjamini_hochberg(every, "p", T.GROUP)
@@ -393,15 +393,15 @@ FROM (SELECT *, error IS NULL AND NOT coalesce(cached, false) AND coalesce(laten
 @REGISTRY.add("a20_role_economics", f"WITH {CALLS} {ECONOMICS.format(by='')}")
 def a20_role_economics(spark: SparkSession, folder: str) -> DataFrame:
     """Economics of each role over the run."""
-    out = R.role_economics(V.calls(spark, folder))
+    out = R.role_economics(V.calls(spark, folder, "error", "cached", "latency_ms", "cost_usd", "input_tokens", "output_tokens"))
     return out.withColumns({"cost": F.round("cost", 10), "latency_mean": F.round("latency_mean", 10)})
 
 
 @REGISTRY.add("a20_prompt_economics", f"WITH {CALLS} {ECONOMICS.format(by='prompt_id,')}")
 def a20_prompt_economics(spark: SparkSession, folder: str) -> DataFrame:
     """Economics of each role by prompt."""
-    out = R.role_economics(V.calls(spark, folder).where("prompt_id is not null"), ["prompt_id"])
-    rest = R.role_economics(V.calls(spark, folder).where("prompt_id is null").drop("prompt_id")).withColumn("prompt_id", F.lit(None).cast("string"))
+    out = R.role_economics(V.calls(spark, folder, "error", "cached", "latency_ms", "cost_usd", "input_tokens", "output_tokens").where("prompt_id is not null"), ["prompt_id"])
+    rest = R.role_economics(V.calls(spark, folder, "error", "cached", "latency_ms", "cost_usd", "input_tokens", "output_tokens").where("prompt_id is null").drop("prompt_id")).withColumn("prompt_id", F.lit(None).cast("string"))
     return out.unionByName(rest).withColumns({"cost": F.round("cost", 10), "latency_mean": F.round("latency_mean", 10)})
 
 
@@ -410,7 +410,7 @@ def a20_prompt_economics(spark: SparkSession, folder: str) -> DataFrame:
 SELECT model_id, role, n, max(v) FILTER (i = greatest(1, (n * 50 + 99) // 100)) AS p50, max(v) FILTER (i = greatest(1, (n * 95 + 99) // 100)) AS p95 FROM v GROUP BY ALL""")
 def a22_latency_ranks(spark: SparkSession, folder: str) -> DataFrame:
     """Nearest-rank latency percentiles by model and role."""
-    return R.nearest_rank(V.calls(spark, folder).where("latency_ms >= 0"), F.col("latency_ms"), ["model_id", "role"], {"p50": 50, "p95": 95})
+    return R.nearest_rank(V.calls(spark, folder, "model_id", "latency_ms").where("latency_ms >= 0"), F.col("latency_ms"), ["model_id", "role"], {"p50": 50, "p95": 95})
 
 
 @REGISTRY.add("a15_relative_increase", f"""WITH {CALLS}, m AS (
@@ -419,7 +419,7 @@ SELECT run_id, round(CASE WHEN coalesce(s, 0) > 0 THEN greatest(0, coalesce(t, 0
   s IS NOT NULL AND t IS NOT NULL AND (s <> 0 OR t <> 0) AS measured FROM m""")
 def a15_relative_increase(spark: SparkSession, folder: str) -> DataFrame:
     """Latency increase of every run."""
-    return R.relative_increase(V.calls(spark, folder).where("latency_ms >= 0"), F.col("latency_ms"), ["run_id"]).select("run_id", *rounded("increase"), "measured")
+    return R.relative_increase(V.calls(spark, folder, "error", "latency_ms").where("latency_ms >= 0"), F.col("latency_ms"), ["run_id"]).select("run_id", *rounded("increase"), "measured")
 
 
 @REGISTRY.add("a24_run_totals", f"""WITH {CALLS}
@@ -428,7 +428,7 @@ SELECT run_id, count(*) AS calls, count(*) FILTER (cached) AS cached, count(erro
 def a24_run_totals(spark: SparkSession, folder: str) -> DataFrame:
     """Header totals of every run."""
     cost = F.when(~F.isnan("cost_usd"), F.col("cost_usd"))
-    return V.calls(spark, folder).groupBy("run_id").agg(F.count("*").alias("calls"), F.count_if("cached").alias("cached"), F.count("error").alias("failed"), F.count_if(F.col("finish_reason") == "length").alias("truncated"), F.round(F.sum(cost), 10).alias("cost"))
+    return V.calls(spark, folder, "cost_usd", "cached", "error", "finish_reason").groupBy("run_id").agg(F.count("*").alias("calls"), F.count_if("cached").alias("cached"), F.count("error").alias("failed"), F.count_if(F.col("finish_reason") == "length").alias("truncated"), F.round(F.sum(cost), 10).alias("cost"))
 
 
 @REGISTRY.add("t2_worst_regressions", f"""WITH {SCORES}
@@ -489,9 +489,9 @@ def a25_insight_facts(spark: SparkSession, folder: str) -> DataFrame:
 SELECT k.*, coalesce(sc.scores, 0) AS scores, e.id IS NOT NULL AS known FROM k LEFT JOIN sc USING (prompt_id, example_id) LEFT JOIN examples e ON e.id = k.example_id""")
 def j11_bundle_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Every called example of a run, with either role, its scores and whether the suite knows it."""
-    k = V.calls(spark, folder).groupBy("run_id", "prompt_id", "example_id").agg(F.bool_or(F.col("role") == "source").alias("has_source"), F.bool_or(F.col("role") == "target").alias("has_target"), F.count("*").alias("calls"))
+    k = V.calls(spark, folder, "model_id").groupBy("run_id", "prompt_id", "example_id").agg(F.bool_or(F.col("role") == "source").alias("has_source"), F.bool_or(F.col("role") == "target").alias("has_target"), F.count("*").alias("calls"))
     sc = L.reduce_samples(V.samples(spark, folder)).groupBy("prompt_id", "example_id").agg(F.count("*").alias("scores"))
-    known = V.examples(spark, folder).select(F.col("id").alias("example_id"), F.lit(True).alias("known"))
+    known = V.examples(spark, folder, "toolset_ref").select(F.col("id").alias("example_id"), F.lit(True).alias("known"))
     return k.join(sc, ["prompt_id", "example_id"], "left").join(known, "example_id", "left").na.fill(0, ["scores"]).na.fill(False, ["known"])
 
 
@@ -598,7 +598,7 @@ def e11_selection_tags(spark: SparkSession, folder: str) -> DataFrame:
 SELECT *, round(CASE WHEN a = 0 AND b = 0 THEN 1 ELSE greatest(0, 1 - abs(a - b) / greatest(abs(a), abs(b), 1e-9) / 0.5e0) END, 10) AS score FROM p WHERE a IS NOT NULL AND b IS NOT NULL""")
 def e16_numeric(spark: SparkSession, folder: str) -> DataFrame:
     """Numeric closeness of the token counts of a pair."""
-    p = P.pair_roles(V.calls(spark, folder).where("prompt_id is not null"))
+    p = P.pair_roles(V.calls(spark, folder, "output_tokens").where("prompt_id is not null"))
     a, b = F.col("source.output_tokens").cast("double"), F.col("target.output_tokens").cast("double")
     return p.select(*P.CALL_KEY, a.alias("a"), b.alias("b")).where("a is not null and b is not null").withColumn("score", F.round(S.numeric_score(F.col("a"), F.col("b"), 0.5), 10))
 
@@ -622,7 +622,7 @@ def j6_occurrence_pairs(spark: SparkSession, folder: str) -> DataFrame:
     z = F.arrays_zip(F.col("trace.events.type").alias("t"), F.col("trace.events.sequence_index").alias("q"), F.col("trace.events.requested_tool_calls").alias("r"))
     asked = rows.select("row_id", F.explode(z).alias("e")).where("e.t = 'model_call'").select("row_id", F.col("e.q").alias("q"), F.posexplode("e.r").alias("i", "c"))
     left = asked.select("row_id", F.col("c.name").alias("name"), (F.col("q").cast("bigint") * 1000 + F.col("i")).alias("at"))
-    right = C.events(rows).where("type = 'tool_call'").select("row_id", "name", F.col("q").alias("at"))
+    right = C.events(rows, "type", "name").where("type = 'tool_call'").select("row_id", "name", F.col("q").alias("at"))
     return S.occurrence_pairs(left, right, ["row_id", "name"], "at").withColumn("k", F.col("k").cast("bigint"))
 
 
@@ -648,7 +648,7 @@ def e13_argument_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Expected calls of suite rows against the calls of imported traces, k-th by k-th name: mean argument score."""
     from pyspark.sql import Window
 
-    ex = V.examples(spark, folder).select(F.col("id").alias("example_id"), F.posexplode("expected_tools").alias("at", "t")).select("example_id", "at", "t.tool_name", "t.arguments", "t.match_strategy")
+    ex = V.examples(spark, folder, "expected_tools").select(F.col("id").alias("example_id"), F.posexplode("expected_tools").alias("at", "t")).select("example_id", "at", "t.tool_name", "t.arguments", "t.match_strategy")
     traces = P.latest(table(spark, folder, "source_traces"), ["prompt_id", "example_id", "role"], ["row_id"], first=True)
     z = F.arrays_zip(*[F.col(f"events.{f}").alias(f) for f in ("type", "sequence_index", "name", "arguments")])
     made = traces.select("prompt_id", "example_id", "role", F.explode(z).alias("e")).where("e.type = 'tool_call'").select("prompt_id", "example_id", "role", F.col("e.sequence_index").alias("at"), F.col("e.name").alias("tool_name"), F.col("e.arguments").alias("made"))
@@ -669,20 +669,20 @@ def e13_argument_scores(spark: SparkSession, folder: str) -> DataFrame:
 @REGISTRY.add("w1_rounds", f"WITH {EVENTS} SELECT row_id, round, count(*) AS events, count(*) FILTER (type = 'tool_call') AS calls FROM er GROUP BY ALL")
 def w1_rounds(spark: SparkSession, folder: str) -> DataFrame:
     """Events and calls of every agent round."""
-    return C.rounds(C.events(table(spark, folder, "multi_round_tools"))).groupBy("row_id", "round").agg(F.count("*").alias("events"), F.count_if(F.col("type") == "tool_call").alias("calls"))
+    return C.rounds(C.events(table(spark, folder, "multi_round_tools"), "type")).groupBy("row_id", "round").agg(F.count("*").alias("events"), F.count_if(F.col("type") == "tool_call").alias("calls"))
 
 
 @REGISTRY.add("w3_wire_rounds", f"WITH {EVENTS} SELECT row_id, greatest(round - 1, 0) AS wire_round, count(*) AS events FROM er GROUP BY ALL")
 def w3_wire_rounds(spark: SparkSession, folder: str) -> DataFrame:
     """Events of every round as they are sent."""
-    return C.wire_rounds(C.events(table(spark, folder, "multi_round_tools"))).groupBy("row_id", "wire_round").agg(F.count("*").alias("events"))
+    return C.wire_rounds(C.events(table(spark, folder, "multi_round_tools"), "type")).groupBy("row_id", "wire_round").agg(F.count("*").alias("events"))
 
 
 @REGISTRY.add("w2_tool_rounds", f"""WITH {EVENTS}, c AS (SELECT row_id, round, list(name ORDER BY q) AS calls FROM er WHERE type = 'tool_call' GROUP BY ALL)
 SELECT row_id, row_number() OVER (PARTITION BY row_id ORDER BY round) - 1 AS tool_round, array_to_string(calls, ',') AS calls FROM c""")
 def w2_tool_rounds(spark: SparkSession, folder: str) -> DataFrame:
     """Rounds with calls, renumbered."""
-    return C.tool_rounds(C.events(table(spark, folder, "multi_round_tools"))).select("row_id", F.col("tool_round").cast("bigint").alias("tool_round"), F.array_join("calls", ",").alias("calls"))
+    return C.tool_rounds(C.events(table(spark, folder, "multi_round_tools"), "type", "name")).select("row_id", F.col("tool_round").cast("bigint").alias("tool_round"), F.array_join("calls", ",").alias("calls"))
 
 
 @REGISTRY.add("j9_pair_results", f"""WITH {EVENTS}, c AS (SELECT *, row_number() OVER (PARTITION BY row_id, round, call_id ORDER BY q) AS k FROM er WHERE type = 'tool_call'),
@@ -693,7 +693,7 @@ r2 AS (SELECT *, row_number() OVER (PARTITION BY row_id, round, name ORDER BY q)
 SELECT * FROM f UNION ALL SELECT c2.row_id, c2.round, c2.q, r2.q FROM c2 LEFT JOIN r2 ON c2.row_id = r2.row_id AND c2.round = r2.round AND c2.name = r2.name AND c2.j = r2.j""")
 def j9_pair_results(spark: SparkSession, folder: str) -> DataFrame:
     """Results of calls within their round, by id and then by name."""
-    return C.pair_results(C.events(table(spark, folder, "multi_round_tools")))
+    return C.pair_results(C.events(table(spark, folder, "multi_round_tools"), "type", "name", "call_id"))
 
 
 def names_sql(names: list[str]) -> str:
@@ -705,7 +705,7 @@ def names_sql(names: list[str]) -> str:
 SELECT row_id, q, name FROM v WHERE type = 'tool_call' AND name IN ({names_sql(DANGEROUS)}) AND seen = 0""")
 def w7_missing_verification(spark: SparkSession, folder: str) -> DataFrame:
     """Dangerous calls without a verification before them."""
-    return C.missing_verification(C.events(table(spark, folder, "multi_round_tools")), DANGEROUS, VERIFYING)
+    return C.missing_verification(C.events(table(spark, folder, "multi_round_tools"), "type", "name"), DANGEROUS, VERIFYING)
 
 
 @REGISTRY.add("r17_capture_list", """
@@ -728,7 +728,7 @@ def r20_toolset_refs(spark: SparkSession, folder: str) -> DataFrame:
 @REGISTRY.add("o7_refs_in_use", f"WITH {EVENTS} SELECT DISTINCT toolset_ref FROM (SELECT toolset_ref FROM e UNION ALL SELECT toolset_ref FROM golden) WHERE toolset_ref IS NOT NULL")
 def o7_refs_in_use(spark: SparkSession, folder: str) -> DataFrame:
     """Toolset references that captures or suite rows use."""
-    return C.refs_in_use(C.events(table(spark, folder, "multi_round_tools")), table(spark, folder, "golden"))
+    return C.refs_in_use(C.events(table(spark, folder, "multi_round_tools"), "toolset_ref"), table(spark, folder, "golden"))
 
 
 @REGISTRY.add("a27_duplicate_turns", """
@@ -797,7 +797,7 @@ SELECT row_id, count(*) AS kept, CAST(max(upto) AS BIGINT) AS size FROM c WHERE
 def w14_cap_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Events of a capture that fit a budget of characters."""
     size = F.char_length(F.coalesce("arguments", F.lit(""))) + F.char_length(F.coalesce("result", F.lit("")))
-    out = C.cap_stream(C.events(table(spark, folder, "multi_round_tools")), size, 400)
+    out = C.cap_stream(C.events(table(spark, folder, "multi_round_tools"), "arguments", "result"), size, 400)
     return out.groupBy("row_id").agg(F.count("*").alias("kept"), F.max("upto").cast("bigint").alias("size"))
 
 
@@ -848,7 +848,7 @@ def o10_unique_tags(spark: SparkSession, folder: str) -> DataFrame:
 @REGISTRY.add("r11_calls_by_tool", f"WITH {EVENTS} SELECT name, count(*) AS calls, count(DISTINCT row_id) AS captures, count(call_id) AS identified FROM e WHERE type = 'tool_call' GROUP BY ALL")
 def r11_calls_by_tool(spark: SparkSession, folder: str) -> DataFrame:
     """Executed calls of every tool; captures are counted from per-capture partial counts."""
-    ev = C.events(table(spark, folder, "multi_round_tools")).where("type = 'tool_call'")
+    ev = C.events(table(spark, folder, "multi_round_tools"), "type", "name", "call_id").where("type = 'tool_call'")
     per = ev.groupBy("name", "row_id").agg(F.count("*").alias("c"), F.count("call_id").alias("i"))
     return per.groupBy("name").agg(F.sum("c").alias("calls"), F.count("*").alias("captures"), F.sum("i").alias("identified"))
 

@@ -19,15 +19,23 @@ def samples(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def calls(spark: SparkSession, folder: str) -> DataFrame:
-    """Model calls, each key once (a row appended twice counts once)."""
+def calls(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Model calls with the key and ``columns`` (all if none), each key once (a row appended twice counts once).
+
+    Columns are named here, before the aggregation by key packs them, so that only they are read.
+    """
     key = ["run_id", "prompt_id", "example_id", "role", "sample_index"]
-    return latest(table(spark, folder, "raw_calls"), key, ["cached_rounds", "latency_ms"])
+    rows = table(spark, folder, "raw_calls")
+    if columns:
+        rows = rows.select(*key, *[c for c in dict.fromkeys([*columns, "cached_rounds", "latency_ms"]) if c not in key])
+    return latest(rows, key, ["cached_rounds", "latency_ms"])
 
 
-def examples(spark: SparkSession, folder: str) -> DataFrame:
-    """Suite examples: of rows with one id the first."""
+def examples(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Suite examples with id and ``columns`` (all if none): of rows with one id the first."""
     rows = table(spark, folder, "golden").where("id is not null")
+    if columns:
+        rows = rows.select("id", "row_id", *columns)
     return latest(rows, ["id"], ["row_id"], first=True)
 
 
