@@ -204,7 +204,9 @@ def paired_tests(rows: DataFrame, group: list[str] = GROUP) -> DataFrame:
 
     passed = moments(rows, group).where("gate = 'tested'").select(*group, "n", "mean_delta", "sd", "d", "d_low", "d_high")
     ok = rows.where("error is null").select(*group, "delta")
-    small = ok.join(passed.where(F.col("n") <= GATHER).select(*group), group)
+    # The groups are small but costly to test, so they are spread by number, not coalesced by size.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    small = ok.join(passed.where(F.col("n") <= GATHER).select(*group), group).repartition(tasks, *group)
     key_types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*group).schema)
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
