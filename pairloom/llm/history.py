@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.scratch import discard, new_path, spool
+from pairloom.scratch import discard, forget, new_path, release, spool
 
 MIN_WORDS = 20
 ROWS, BANDS = 6, 64
@@ -210,6 +210,7 @@ class History:
         new = classes.join(firsts, "text_key")
         new_bands = bands.select("band", "doc").join(new.select("doc", "first"), "doc").select("band", F.col("first").alias("doc"))
         self.accept(good, new.select(F.col("first").alias("doc"), "words", "s0", "s1"), new_bands)
+        forget(classes, bands, pairs, matched)
         return cases
 
     def _inside(self, open_rows: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -260,5 +261,6 @@ def replay_batches(rows: DataFrame, first: int = 0) -> DataFrame:
     cases = ready.select(F.col("row_id").alias("kept_row_id"), F.col("row_id").alias("dup_row_id")).limit(0)
     for number in numbers:
         cases = cases.unionByName(history.take(ready.where(F.col("batch_no") == number)))
+        release(spark)
     history.drop()
     return cases
