@@ -59,7 +59,7 @@ def measure_parts(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             share = sum(plain.fullmatch(p) is not None for p in pieces) / len(pieces) if pieces else 0.0
             clean = odd.sub(" ", opening.sub("", markup.sub(" ", text)))
             sentences = [found for s in end.split(clean) if (found := word.findall(s.lower()))]
-            counts = Counter(w[:60] for s in sentences for w in s)
+            counts = Counter(w for s in sentences for w in s)
             n = sum(counts.values())
             if not n:
                 rows.append((None, 0, share, None, None, None))
