@@ -184,4 +184,5 @@ def with_token_count(df: DataFrame, text: str, name: str = "tokens", vocabulary:
         for part in parts:
             yield pd.Series([len(ids) for block in _blocks(part.tolist()) for ids in encoder.encode(block)], dtype="int64")
 
-    return df.withColumn(name, count(text))
+    # Marked as not deterministic, so that a later filter on the count does not run the tokenizer twice.
+    return df.withColumn(name, count.asNondeterministic()(text))
