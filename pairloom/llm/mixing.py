@@ -123,7 +123,8 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 0, total: int | No
     sizes = sums.groupBy("pattern").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
     if len(sizes) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} combinations of sources")
-    patterns = {frozenset(r["pattern"]): r["size"] for r in sizes}
+    # In a fixed order: several flows can cost the same, and the one found must not depend on the order of arrival.
+    patterns = {frozenset(r["pattern"]): r["size"] for r in sorted(sizes, key=lambda r: r["pattern"])}
     wanted: dict[str, dict[str, tuple[float, int]]] = defaultdict(dict)
     for r in targets.where("mix_name is not null and source is not null").collect():
         wanted[r["mix_name"]][r["source"]] = (r["weight"] if r["weight"] and r["weight"] > 0 else 0.0, r["max_repeats"] or 0)
