@@ -17,7 +17,9 @@ GROUP = ["slice_name", "prompt_id", "evaluator_name", "kind"]
 # Gates of the tests, and the normal quantile of a 95 % interval.
 FEWEST, FEW, FLAT, Z95 = 5, 20, 1e-9, 1.96
 RESAMPLES = 2000
-#: Deltas beyond which a group's rank test uses the aggregated ranks instead of a gathered group.
+#: More deltas than this count as normal, as in the surveyed engine: the paired t test, which needs moments only.
+NORMAL_BEYOND = 5000
+#: No longer switches anything (larger groups had a rank test of aggregated ranks); an existing test still sets it.
 GATHER = 5000
 
 
@@ -81,7 +83,7 @@ def _betacf(a: float, b: float, x: float) -> float:
     tiny, c = 1e-300, 1.0
     d = 1 / (1 - (a + b) * x / (a + 1) or tiny)
     h = d
-    for m in range(1, 300):
+    for m in range(1, 300 + int(5 * math.sqrt(max(a, b)))):
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1 / (1 + num * d or tiny)
             c = 1 + num / c or tiny
@@ -178,7 +180,7 @@ def paired_test(deltas: np.ndarray, seed: int) -> tuple[str, float, float, float
     bootstrap interval whose generator is seeded by the comparison."""
     n, mean, sd = len(deltas), float(deltas.mean()), float(deltas.std(ddof=1))
     d = mean / sd
-    if n <= 5000 and shapiro(deltas) > 0.05:
+    if n > NORMAL_BEYOND or shapiro(deltas) > 0.05:
         half = Z95 * math.sqrt(1 / n + d * d / (2 * n))
         t = mean / (sd / math.sqrt(n))
         return "paired_t", t, t_two_sided(t, n - 1), d - half, d + half
@@ -197,16 +199,16 @@ def paired_test(deltas: np.ndarray, seed: int) -> tuple[str, float, float, float
 def paired_tests(rows: DataFrame, group: list[str] = GROUP) -> DataFrame:
     """The paired test of every comparison that passes the gates: group, n, test, statistic, p, d_low, d_high.
 
-    Groups up to GATHER deltas are tested as they are. Larger ones are reduced first: their deltas are counted by
-    value, which is all that the rank test and the moments depend on, and the interval is the analytic one.
+    Groups up to NORMAL_BEYOND deltas are gathered and tested. Larger ones get the paired t test and its analytic
+    interval, exact from the moments, so none of them is gathered.
     """
     import zlib
 
-    passed = moments(rows, group).where("gate = 'tested'").select(*group, "n", "mean_delta", "sd", "d", "d_low", "d_high")
+    passed = moments(rows, group).where("gate = 'tested'").select(*group, "n", "t", "d_low", "d_high")
     ok = rows.where("error is null").select(*group, "delta")
     # The groups are small but costly to test, so they are spread by number, not coalesced by size.
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    small = ok.join(passed.where(F.col("n") <= GATHER).select(*group), group).repartition(tasks, *group)
+    small = ok.join(passed.where(F.col("n") <= NORMAL_BEYOND).select(*group), group).repartition(tasks, *group)
     key_types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*group).schema)
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -216,21 +218,13 @@ def paired_tests(rows: DataFrame, group: list[str] = GROUP) -> DataFrame:
         return pd.DataFrame([[*key, len(x), name, statistic, p, low, high]], columns=[*group, "n", "test", "statistic", "p", "d_low", "d_high"])
 
     tested = small.groupBy(*group).applyInPandas(test, f"{key_types}, n bigint, test string, statistic double, p double, d_low double, d_high double")
-    large = ok.join(passed.where(F.col("n") > GATHER).select(*group), group).where("delta <> 0")
-    counts = large.groupBy(*group, F.abs("delta").alias("size")).agg(F.count_if(F.col("delta") > 0).alias("up"), F.count("*").alias("c"))
-    order = Window.partitionBy(*group).orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("rank", F.coalesce(F.sum("c").over(order), F.lit(0)) + (F.col("c") + 1) / 2)
-    sums = ranked.groupBy(*group).agg(F.sum("c").cast("double").alias("m"), F.sum(F.col("up") * F.col("rank")).alias("plus"), F.sum(F.pow(F.col("c").cast("double"), 3) - F.col("c")).alias("ties"))
-    m = F.col("m")
-    w = F.least(F.col("plus"), m * (m + 1) / 2 - F.col("plus"))
-    z = (w - m * (m + 1) / 4) / F.sqrt(m * (m + 1) * (2 * m + 1) / 24 - F.col("ties") / 48)
 
     @F.pandas_udf("double")
-    def tail(z: pd.Series) -> pd.Series:
-        return z.map(lambda v: min(1.0, math.erfc(abs(v) / math.sqrt(2))))
+    def tail(t: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([t_two_sided(x, k - 1) for x, k in zip(t, n)], dtype=float)
 
-    big = sums.select(*group, w.alias("statistic"), tail(z).alias("p")).join(passed, group)
-    return tested.unionByName(big.select(*group, "n", F.lit("wilcoxon").alias("test"), "statistic", "p", "d_low", "d_high"))
+    large = passed.where(F.col("n") > NORMAL_BEYOND).withColumn("p", tail("t", "n"))
+    return tested.unionByName(large.select(*group, "n", F.lit("paired_t").alias("test"), F.col("t").alias("statistic"), "p", "d_low", "d_high"))
 
 
 def wilson(hits: Column, n: Column) -> tuple[Column, Column]:

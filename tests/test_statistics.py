@@ -87,3 +87,17 @@ def test_slices_repeat_tags_and_collapse(spark):
     kept = {r.slice_name: r.collapsed for r in L.dedupe_slices(sliced).collect()}
     assert kept == {"all": [], "x": ["y", "captured"], "w": []}
     assert rows(L.unmeasured_by_slice(scores, examples)) == sorted([("v", "k", "p", s, 1) for s in ("all", "z")], key=repr)
+
+
+def test_groups_beyond_five_thousand_get_the_paired_t_test(spark):
+    rng = np.random.default_rng(6)
+    skewed = rng.exponential(size=5001) - 0.97
+    df = spark.createDataFrame(pd.DataFrame({"g": ["more"] * 5001 + ["most"] * 5000, "delta": np.concatenate([skewed, skewed[:5000]])})).withColumn("error", F.lit(None).cast("string"))
+    got = {r.g: r for r in T.paired_tests(df, ["g"]).collect()}
+    assert (got["more"].test, got["most"].test) == ("paired_t", "wilcoxon")
+    d = skewed.mean() / skewed.std(ddof=1)
+    half = 1.96 * np.sqrt(1 / 5001 + d * d / 10002)
+    assert got["more"].n == 5001 and got["more"].statistic == pytest.approx(d * np.sqrt(5001))
+    assert got["more"].p == pytest.approx(T.t_two_sided(d * np.sqrt(5001), 5000), rel=1e-6)
+    assert (got["more"].d_low, got["more"].d_high) == pytest.approx((d - half, d + half))
+    assert T.t_two_sided(1.0, 10_000_000) == pytest.approx(0.3173105, abs=1e-6)
