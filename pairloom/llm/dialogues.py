@@ -131,3 +131,16 @@ def dialogues(captures: DataFrame, messages: DataFrame) -> DataFrame:
         F.min("capture_id").alias("capture_id"), F.min("seq").alias("seq"), F.min(clean_role(F.col("role"))).alias("role"), F.min("content").alias("content")
     )
     return sound_turns(captures, messages).join(once, "capture_id").select("conversation_id", "turn_no", "seq", "message_id", "role", "content")
+
+
+def whole_dialogues(captures: DataFrame, messages: DataFrame) -> DataFrame:
+    """Every message of the sound conversations in order, with tool_calls and tool_call_id.
+
+    Like :func:`dialogues`, but blank messages stay: a request for tools often has no content, and the replies of the
+    tools refer to it. Blank content counts for soundness only.
+    """
+    once = messages.groupBy("message_id").agg(
+        F.min("capture_id").alias("capture_id"), F.min("seq").alias("seq"), F.min(clean_role(F.col("role"))).alias("role"), F.min("content").alias("content"),
+        F.min("tool_calls").alias("tool_calls"), F.min("tool_call_id").alias("tool_call_id"),
+    )
+    return sound_turns(captures, messages).join(once, "capture_id").select("conversation_id", "turn_no", "seq", "message_id", "role", "content", "tool_calls", "tool_call_id")

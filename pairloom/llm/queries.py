@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm.dialogues import dialogues, sound_turns
+from pairloom.llm.dialogues import dialogues, sound_turns, whole_dialogues
 from pairloom.llm.history import replay_batches, rows_of
 from pairloom.llm.mixing import mix, shares
 from pairloom.llm.reading import reading_levels
@@ -123,6 +123,12 @@ def p6_dialogues(spark: SparkSession, folder: str) -> DataFrame:
     return dialogues(table(spark, folder, "multi_round_tools"), table(spark, folder, "chat_messages"))
 
 
+@REGISTRY.add("p6_messages")
+def p6_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every message of the sound conversations, in order, requests for tools without content included."""
+    return whole_dialogues(table(spark, folder, "multi_round_tools"), table(spark, folder, "chat_messages"))
+
+
 @REGISTRY.add("p8_ids")
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""

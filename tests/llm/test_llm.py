@@ -307,3 +307,18 @@ def test_held_out_accuracy(spark):
     train, held = labels.where("pmod(xxhash64(doc_id), 2) = 0"), labels.where("pmod(xxhash64(doc_id), 2) = 1")
     levels = reading.reading_levels(documents, train).join(held, "doc_id").select((F.col("level") >= 4).alias("a"), (F.col("band") >= 4).alias("b")).collect()
     assert sum(r.a == r.b for r in levels) / len(levels) >= 0.85
+
+
+def test_messages_without_content_stay_in_their_dialogue(spark):
+    from pairloom.llm.dialogues import whole_dialogues
+
+    captures = spark.createDataFrame([("k", "v", 0, None)], "capture_id string, conversation_id string, turn_index int, parent_capture_id string")
+    calls = [{"id": "c1", "type": "function", "function": {"name": "find", "arguments": "{}"}}]
+    said = [(1, 0, "human", "find it", None, None), (2, 1, "Model", None, calls, None), (2, 1, "Model", None, calls, None), (3, 2, "tool", "", None, "c1"), (4, 3, "model", "here", None, None)]
+    messages = spark.createDataFrame(
+        [(m, "k", *rest) for m, *rest in said],
+        "message_id bigint, capture_id string, seq int, role string, content string, tool_calls array<struct<id string, type string, function struct<name string, arguments string>>>, tool_call_id string",
+    )
+    got = whole_dialogues(captures, messages).orderBy("seq").collect()
+    assert [(r.message_id, r.role, r.content) for r in got] == [(1, "user", "find it"), (2, "assistant", None), (3, "tool", ""), (4, "assistant", "here")]
+    assert got[1].tool_calls[0].function.name == "find" and got[2].tool_call_id == "c1"
