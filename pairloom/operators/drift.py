@@ -142,20 +142,77 @@ def replay(rows: DataFrame, approved: dict[str, str], target: dict[str, str] = T
     """Turn rescued values into typed columns.
 
     ``approved`` maps a rescued path to the target path it fills (an alias), or to itself (a retyped value or a new
-    field, then typed by ``target`` or as text). A typed value that is there already wins; text that casts is taken.
+    field, then typed by ``target`` or as text). A typed value that is there already wins; text that casts is taken,
+    and so are the one element of an array, a number with its unit "ms", and text between commas as a list.
     """
     rescued = F.from_json("rescued", "map<string,string>")
     out = rows
     for path, onto in approved.items():
         kind = target.get(onto, "string")
         raw = F.try_element_at(rescued, F.lit(path))
-        value: Column = F.from_json(raw, kind) if kind.startswith("array") else F.expr("try_cast(_raw as " + kind + ")")
+        if kind.startswith("array"):
+            value: Column = F.when(raw.startswith("["), F.from_json(raw, kind)).otherwise(F.split(raw, r"\s*,\s*"))
+        else:
+            plain = r"regexp_replace(_raw, '^\\[\"?([^\",\\[\\]{}]*)\"?\\]$', '$1')"
+            plain = f"regexp_replace({plain}, '^([0-9.]+) ?ms$', '$1')" if kind in ("bigint", "double") else plain
+            value = F.expr(f"try_cast({plain} as {kind})")
         name = column_of(onto)
         filled = F.coalesce(F.col(name), value) if name in out.columns else value
         out = out.withColumn("_raw", raw).withColumn(name, filled).drop("_raw")
     return out
 
 
+def approve(changed: DataFrame, target: dict[str, str] = TARGET) -> dict[str, str]:
+    """What :func:`replay` may take, from the report of changes: renamed fields and retyped target fields.
+
+    Paths linked by renames are one field, whatever the stream; its aliases fill the one target path among them. A
+    group with no or several target paths stays rescued. Collects the distinct renames, as small as the schemas.
+    """
+    groups: dict[str, set[str]] = {}
+    for r in changed.where("change = 'renamed'").select("field", "new_field").distinct().collect():
+        both = groups.get(r.field, {r.field}) | groups.get(r.new_field, {r.new_field})
+        groups.update(dict.fromkeys(both, both))
+    retyped = {r.field for r in changed.where("change = 'retyped'").select("field").distinct().collect()}
+    out = {p: p for p in sorted(retyped & set(target))}
+    for path in sorted(set(groups) - set(target)):
+        onto = groups[path] & set(target)
+        if len(onto) == 1:
+            out[path] = onto.pop()
+    return out
+
+
+def promote(rows: DataFrame, approved: dict[str, str], target: dict[str, str] = TARGET) -> DataFrame:
+    """:func:`replay`, with what was taken removed from ``rescued``; a null under an approved alias is taken too.
+
+    A value stays rescued unless its column was empty, is filled now, and no other approved value could have filled it.
+    """
+    columns = sorted({column_of(p) for p in approved.values()})
+    if not columns:
+        return rows
+    was = rows.withColumn("_was", F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in columns])))
+    now = replay(was, approved, target).withColumn("_now", F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in columns])))
+
+    @F.pandas_udf("string")
+    def left(rescued: pd.Series, filled: pd.Series) -> pd.Series:
+        import json
+
+        def one(text: str | None, new) -> str | None:
+            if text is None:
+                return None
+            rest = json.loads(text)
+            rest = {p: v for p, v in rest.items() if v is not None or p not in approved}
+            known = [p for p in rest if p in approved]
+            for onto in new:
+                takers = [p for p in known if column_of(approved[p]) == onto]
+                if len(takers) == 1:
+                    del rest[takers[0]]
+            return json.dumps(rest, ensure_ascii=False) if rest else None
+
+        return pd.Series([one(t, n) for t, n in zip(rescued, filled)], dtype=object)
+
+    return now.withColumn("rescued", left("rescued", F.array_except("_now", "_was"))).drop("_was", "_now")
+
+
 def presence(rows: DataFrame) -> DataFrame:
     """One row a field and file: stream, file_no, path, types (sorted JSON types of its non-null values)."""
     return (

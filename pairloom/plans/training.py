@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.operators.drift import changes, ingest
+from pairloom.operators.drift import approve, changes, ingest, promote
 from pairloom.operators.timestamps import capture_timestamps
 from pairloom.operators.tool_calls import linked_calls
 from pairloom.plans.registry import Registry
@@ -54,6 +54,15 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return changed.select("stream", F.col("file_no").cast("long").alias("file_no"), "change", "field", "new_field")
 
 
+@REGISTRY.add("p3_captures")
+def p3_captures(spark: SparkSession, folder: str) -> DataFrame:
+    """All capture records as one table: renamed and retyped fields in their typed columns, the rest still rescued."""
+    files = table(spark, folder, "capture_files")
+    rows = spool(ingest(files), "capture_files")
+    approved = approve(spool(changes(files, rows), "drift-changes"))
+    return promote(rows.drop("fields"), approved)
+
+
 @REGISTRY.add("p7_found", P7_SQL)
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every executed call with what it belongs to."""

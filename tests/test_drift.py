@@ -61,3 +61,16 @@ def test_very_long_and_deep_values(spark):
         deep = {"k": deep}
     row = ingest(files(spark, {"s": {1: [{"suite": "y" * 1_000_000, **deep}]}})).first()
     assert row.parsed and len(row.suite) == 1_000_000 and [f.path for f in row.fields] == ["suite", ".".join(["k"] * 50 + ["x"])]
+
+
+def test_captures_are_one_table_with_renamed_and_retyped_fields_filled(spark, tmp_path):
+    from pairloom.plans.training import REGISTRY
+
+    ids = [f"cap_{i:03d}ab" for i in range(8)]
+    first = [{"capture_id": x, "turn_index": i, "latency_ms": 900 + i, "tags": ["a", "b"]} for i, x in enumerate(ids)]
+    second = [{"captureId": x, "turn_index": [i], "latency_ms": f"{900 + i} ms", "tags": "a,b", "odd": i} for i, x in enumerate(ids)]
+    second += [{"captureId": "cap_100ab", "turn_index": "late", "latency_ms": None, "tags": None}]
+    files(spark, {"s": {1: first, 2: second}}).write.parquet(f"{tmp_path}/capture_files.parquet")
+    got = REGISTRY.queries["p3_captures"](spark, str(tmp_path)).where("file_no = 2").orderBy("line_no").collect()
+    assert [(r.capture_id, r.turn_index, r.latency_ms, r.tags, json.loads(r.rescued)) for r in got[:8]] == [(x, i, 900 + i, ["a", "b"], {"odd": i}) for i, x in enumerate(ids)]
+    assert (got[8].capture_id, got[8].turn_index, json.loads(got[8].rescued)) == ("cap_100ab", None, {"turn_index": "late"})
