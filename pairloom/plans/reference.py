@@ -266,14 +266,19 @@ def a6_comparisons(spark: SparkSession, folder: str) -> DataFrame:
     return comparisons(spark, folder).select(*T.GROUP, "n", *rounded("mean_delta", "sd", "d", "t", "d_low", "d_high"), "gate")
 
 
-@REGISTRY.add("a7_paired_tests")
-def a7_paired_tests(spark: SparkSession, folder: str) -> DataFrame:
-    """p-values of the paired tests, false-discovery correction and severity (SQL has no rank test)."""
+def tested_severities(spark: SparkSession, folder: str) -> DataFrame:
+    """Every comparison with its paired test, q over all tests, and severity."""
     rows = L.slice_rows(L.reduce_samples(V.samples(spark, folder)), V.examples(spark, folder, "tags"))
     tested = T.paired_tests(rows).select(*T.GROUP, "test", "statistic", "p", F.col("d_low").alias("low"), F.col("d_high").alias("high"))
     every = T.moments(rows).join(tested, T.GROUP, "left")
     q = T.benjamini_hochberg(every, "p", T.GROUP)
-    return q.select(*T.GROUP, "n", "test", *rounded("p", "q", "d", "low", "high"), T.severity(F.col("n"), F.col("q"), F.col("mean_delta"), F.col("d")).alias("severity"))
+    return q.withColumn("severity", T.severity(F.col("n"), F.col("q"), F.col("mean_delta"), F.col("d")))
+
+
+@REGISTRY.add("a7_paired_tests")
+def a7_paired_tests(spark: SparkSession, folder: str) -> DataFrame:
+    """p-values of the paired tests, false-discovery correction and severity (SQL has no rank test)."""
+    return tested_severities(spark, folder).select(*T.GROUP, "n", "test", *rounded("p", "q", "d", "low", "high"), "severity")
 
 
 # A p-value that both engines can compute: a stand-in that falls with the t statistic.
@@ -307,19 +312,35 @@ def severities(spark: SparkSession, folder: str) -> DataFrame:
 
 @REGISTRY.add("a9_severity", SEVERITY_SQL + "SELECT slice_name, prompt_id, evaluator_name, kind, n, severity FROM s")
 def a9_severity(spark: SparkSession, folder: str) -> DataFrame:
-    """Severity of every comparison."""
+    """Severity of every comparison by the stand-in."""
     return severities(spark, folder).select(*T.GROUP, "n", "severity")
 
 
+@REGISTRY.add("a9_tested_severity")
+def a9_tested_severity(spark: SparkSession, folder: str) -> DataFrame:
+    """Severity of every comparison by its paired test."""
+    return tested_severities(spark, folder).select(*T.GROUP, "n", "severity")
+
+
 @REGISTRY.add("t1_comparison_order", SEVERITY_SQL + """, k AS (SELECT *, list_position(['critical', 'high', 'medium', 'low', 'improved', 'none', 'insufficient'], severity) AS sr, round(abs(d), 10) AS size FROM s)
 SELECT slice_name, place, prompt_id, evaluator_name, kind, severity FROM (
   SELECT *, row_number() OVER (PARTITION BY slice_name ORDER BY sr, size DESC, prompt_id, evaluator_name, kind) AS place FROM k) WHERE place <= 20""")
 def t1_comparison_order(spark: SparkSession, folder: str) -> DataFrame:
-    """The twenty leading comparisons of every slice, by severity and effect."""
+    """The twenty leading comparisons of every slice, by effect and severity by the stand-in."""
+    return leading(severities(spark, folder))
+
+
+@REGISTRY.add("t1_tested_order")
+def t1_tested_order(spark: SparkSession, folder: str) -> DataFrame:
+    """The twenty leading comparisons of every slice, by effect and severity by the paired test."""
+    return leading(tested_severities(spark, folder))
+
+
+def leading(rows: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     order = Window.partitionBy("slice_name").orderBy(T.severity_rank(F.col("severity")), F.desc(F.round(F.abs("d"), 10)), "prompt_id", "evaluator_name", "kind")
-    return severities(spark, folder).withColumn("place", F.row_number().over(order).cast("bigint")).where("place <= 20").select("slice_name", "place", "prompt_id", "evaluator_name", "kind", "severity")
+    return rows.withColumn("place", F.row_number().over(order).cast("bigint")).where("place <= 20").select("slice_name", "place", "prompt_id", "evaluator_name", "kind", "severity")
 
 
 @REGISTRY.add("a10_multi_axis", f"""WITH {SLICED}, g AS (SELECT DISTINCT slice_name, prompt_id, evaluator_name, kind FROM sliced WHERE error IS NULL)
@@ -333,9 +354,19 @@ def a10_multi_axis(spark: SparkSession, folder: str) -> DataFrame:
 SELECT prompt_id, min(list_position(['critical', 'high', 'medium', 'low', 'improved', 'none', 'insufficient'], severity)) - 1 AS worst, count(*) AS comparisons,
   count(*) FILTER (severity IN ('critical', 'high')) AS blocking FROM s WHERE slice_name = 'all' GROUP BY ALL""")
 def a34_executive_summary(spark: SparkSession, folder: str) -> DataFrame:
-    """Worst severity and blocking comparisons of every prompt."""
+    """Worst severity by the stand-in and blocking comparisons of every prompt."""
+    return summary(severities(spark, folder))
+
+
+@REGISTRY.add("a34_tested_summary")
+def a34_tested_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Worst severity by the paired test and blocking comparisons of every prompt."""
+    return summary(tested_severities(spark, folder))
+
+
+def summary(rows: DataFrame) -> DataFrame:
     rank = T.severity_rank(F.col("severity"))
-    return severities(spark, folder).where("slice_name = 'all'").groupBy("prompt_id").agg(F.min(rank).cast("bigint").alias("worst"), F.count("*").alias("comparisons"), F.count_if(F.col("severity").isin("critical", "high")).alias("blocking"))
+    return rows.where("slice_name = 'all'").groupBy("prompt_id").agg(F.min(rank).cast("bigint").alias("worst"), F.count("*").alias("comparisons"), F.count_if(F.col("severity").isin("critical", "high")).alias("blocking"))
 
 
 @REGISTRY.add("a33_headline", SEVERITY_SQL + """, k AS (SELECT *, round(abs(d), 10) AS size FROM s WHERE gate = 'tested')

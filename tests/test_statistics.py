@@ -101,3 +101,19 @@ def test_groups_beyond_five_thousand_get_the_paired_t_test(spark):
     assert got["more"].p == pytest.approx(T.t_two_sided(d * np.sqrt(5001), 5000), rel=1e-6)
     assert (got["more"].d_low, got["more"].d_high) == pytest.approx((d - half, d + half))
     assert T.t_two_sided(1.0, 10_000_000) == pytest.approx(0.3173105, abs=1e-6)
+
+
+def test_reports_take_their_severity_from_the_paired_test(spark, tmp_path):
+    from pairloom.plans.reference import REGISTRY
+
+    # 30 deltas with t = -2.5: p is about 0.018, while 1 / (1 + t * t) is 0.14 and would say none.
+    x = np.linspace(-2, 2, 30)
+    x = (x - x.mean()) / x.std(ddof=1) - 2.5 / np.sqrt(30)
+    scores = pd.DataFrame({"reg_id": range(30), "prompt_id": "p", "example_id": [f"e{i}" for i in range(30)], "evaluator_name": "v", "kind": "k", "delta": x, "source_score": 0.5, "target_score": 0.5, "explanation": "x"})
+    spark.createDataFrame(scores).write.parquet(f"{tmp_path}/top_regressions.parquet")
+    spark.createDataFrame([(1, "e0", ["w"])], "row_id bigint, id string, tags array<string>").write.parquet(f"{tmp_path}/golden.parquet")
+    got = {n: {r.slice_name: r for r in REGISTRY.queries[n](spark, str(tmp_path)).collect()} for n in ("a9_tested_severity", "t1_tested_order")}
+    assert got["a9_tested_severity"]["all"].severity == got["t1_tested_order"]["all"].severity == "medium"
+    assert got["a9_tested_severity"]["w"].severity == "insufficient"
+    worst = REGISTRY.queries["a34_tested_summary"](spark, str(tmp_path)).first()
+    assert (worst.worst, worst.comparisons, worst.blocking) == (2, 1, 0)
