@@ -109,6 +109,47 @@ def history(turns: DataFrame, depth: int) -> DataFrame:
     return turns.select("conversation_id", "place", F.collect_list(F.when(~F.col("blocked"), F.struct("user", "assistant"))).over(w).alias("history"))
 
 
+def full_history(captures: DataFrame) -> DataFrame:
+    """Messages before each turn: conversation_id, place, recorded, messages, chars.
+
+    A turn whose first input is a list of messages with a user message has what it recorded before that message.
+    Others get all turns before that are not blocked: their user texts, their replies where there are any, and first
+    the earliest system message that one of them recorded. Blocked are turns with an error event, without a toolset on
+    their first model call, or with several toolsets. Running sums, so the length of a conversation costs nothing.
+    """
+    z = F.arrays_zip(*[F.col(f"trace.events.{f}").alias(f) for f in ("sequence_index", "type", "toolset_ref")])
+    ordered = F.array_sort(F.transform(z, lambda x: F.struct(x["sequence_index"].alias("q"), x["type"].alias("type"), x["toolset_ref"].alias("ref"))))
+    refs = F.transform(F.filter(ordered, lambda x: x["type"] == "model_call"), lambda x: x["ref"])
+    failed = F.coalesce(F.exists(ordered, lambda x: x["type"] == "error"), F.lit(False))
+    blocked = failed | F.try_element_at(refs, F.lit(1)).isNull() | (F.size(F.array_distinct(F.array_compact(refs))) > 1)
+    turns = turn_order(captures.where("conversation_id is not null").select("row_id", "conversation_id", "turn_index", "created_at", "capture_id"))
+    m = F.when(F.col("first_input").rlike(r"^\s*\["), F.from_json("first_input", "array<struct<role string, content string>>"))
+    # Up to the last user message: the place of the first one in the reversed list, counted from the end.
+    upto = F.size("m") - F.array_position(F.transform(F.reverse("m"), lambda x: F.coalesce(x["role"], F.lit(""))), "user") + 1
+    parsed = captures.select("row_id", blocked.alias("blocked")).join(recovered_texts(captures), "row_id").withColumn("m", m)
+    listed = F.size("m") > 0
+    parsed = parsed.withColumn("recorded", F.coalesce(F.exists("m", lambda x: x["role"] == "user"), F.lit(False))).withColumn("upto", F.when(F.col("recorded"), upto.cast("int")))
+    kept = F.filter(F.slice("m", F.lit(1), F.col("upto") - 1), lambda x: x["role"].isin("system", "user", "assistant", "model", "tool"))
+    parsed = parsed.withColumn("own", F.when(F.col("recorded"), kept))
+    user = F.when(F.col("recorded"), F.get("m", F.col("upto") - 1)["content"]).when(F.coalesce(listed, F.lit(False)) | (F.coalesce("first_input", F.lit("")) == ""), "{}").otherwise(F.col("first_input"))
+    first = F.get("own", F.lit(0))
+    own_chars = F.aggregate("own", F.lit(0).cast("bigint"), lambda s, x: s + F.coalesce(F.char_length(x["content"]), F.lit(0)))
+    sized = parsed.select(
+        "row_id", "blocked", "recorded", F.size("own").cast("bigint").alias("own_n"), own_chars.alias("own_chars"), F.when(first["role"] == "system", F.coalesce(F.char_length(first["content"]), F.lit(0))).alias("system"),
+        (1 + F.col("final_text").isNotNull().cast("bigint")).alias("n"), (F.coalesce(F.char_length(user), F.lit(0)) + F.coalesce(F.char_length("final_text"), F.lit(0))).cast("bigint").alias("chars"),
+    )
+    w = Window.partitionBy("conversation_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    seen = lambda c: F.when(~F.col("blocked"), F.col(c))
+    before = F.first(seen("system"), ignorenulls=True).over(w)
+    run = turns.join(sized, "row_id").withColumns({"_s": before, "_n": F.sum(seen("n")).over(w), "_c": F.sum(seen("chars")).over(w)})
+    none = F.lit(0).cast("bigint")
+    return run.select(
+        "conversation_id", "place", "recorded",
+        F.when(F.col("recorded"), F.col("own_n")).otherwise(F.coalesce("_n", none) + F.col("_s").isNotNull().cast("bigint")).alias("messages"),
+        F.when(F.col("recorded"), F.col("own_chars")).otherwise(F.coalesce("_c", none) + F.coalesce("_s", none)).alias("chars"),
+    )
+
+
 def content_duplicates(rows: DataFrame, key: list[str], owner: str, within: list[str]) -> DataFrame:
     """Rows whose content another owns: owner, first_owner. Content is hashed, so long texts are not shuffled twice."""
     content = F.sha2(F.to_json(F.struct(*key)), 256)

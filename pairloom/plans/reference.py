@@ -808,6 +808,12 @@ def w5_history(spark: SparkSession, folder: str) -> DataFrame:
     return h.select("conversation_id", F.col("place").cast("bigint").alias("place"), F.size("history").cast("bigint").alias("turns"), chars.alias("chars"))
 
 
+@REGISTRY.add("w5_full_history")
+def w5_full_history(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole history that each turn sees, recorded or rebuilt: its messages and their characters."""
+    return C.full_history(table(spark, folder, "multi_round_tools")).withColumn("place", F.col("place").cast("bigint"))
+
+
 @REGISTRY.add("o2_content_duplicates", """
 WITH f AS (SELECT inputs, min(row_id) AS first_owner FROM golden WHERE inputs IS NOT NULL GROUP BY ALL HAVING count(*) > 1)
 SELECT row_id, first_owner FROM golden JOIN f USING (inputs) WHERE row_id <> first_owner""")

@@ -85,3 +85,21 @@ def test_arguments(a, b, how, want):
 
 def test_fields():
     assert field_score(None, 1) == 0 and field_score(None, 1, strict=False) == 0.5 and contained([1, 1], [1, 2]) and not contained({"a": 1}, [])
+
+
+def test_history_has_no_depth_and_keeps_users_and_the_system_message(spark):
+    from pairloom.operators.captures import full_history
+
+    event = "struct<type string, sequence_index int, input string, output string, text string, toolset_ref string>"
+    listed = '[{"role": "system", "content": "sys"}, {"role": "user", "content": "u0"}]'
+
+    def turn(i, text, reply="four", *more):
+        return (i, "v", i, "", f"c{i}", {"events": [{"type": "model_call", "sequence_index": 0, "input": text, "output": reply, "text": None, "toolset_ref": "t"}, *more]})
+
+    failed = {"type": "error", "sequence_index": 1, "input": None, "output": None, "text": None, "toolset_ref": None}
+    data = [turn(0, listed), turn(1, "ask"), turn(2, "ask", None), turn(3, "ask", "four", failed), *[turn(i, "ask") for i in range(4, 31)]]
+    df = spark.createDataFrame(data, f"row_id bigint, conversation_id string, turn_index int, created_at string, capture_id string, trace struct<events array<{event}>>")
+    got = {r.place: (r.recorded, r.messages, r.chars) for r in full_history(df).collect()}
+    assert got[0] == (True, 1, 3) and got[1] == (False, 3, 9) and got[2] == (False, 5, 16)
+    assert got[3] == (False, 6, 19) == got[4]
+    assert got[30] == (False, 6 + 2 * 26, 19 + 7 * 26)
