@@ -1,9 +1,11 @@
 """Duplicates of new batches against everything accepted so far, from a persisted index.
 
-The index holds three bucketed tables of the accepted rows: ``ids`` (exact keys and the first row that has them),
-``bands`` (minwise band keys) and ``docs`` (the signature: sketch bits and the word multiset). All are hash-bucketed on
-what they are probed by, so a batch shuffles only its own rows and meets only the matching buckets; the history is
-neither recomputed nor shuffled, and texts are not kept.
+The index is a folder with two bucketed tables of the accepted rows: ``entries`` (minwise band keys and exact keys, by
+key) and ``docs`` (the signature: sketch bits and the word multiset, by document). Files are sorted by what they are
+probed by. A batch shuffles only its own rows and meets only the matching buckets; a batch of few keys hands them to
+the scan, which then reads only the pages that can hold them. The history is neither recomputed nor shuffled, texts
+are not kept, and :meth:`History.open` goes on with an index that another session left. Every append adds a file a
+bucket; after COMPACT_AFTER appends the files are merged.
 
 Near-identical requests: both have MIN_WORDS words or more, and the words common to both (with multiplicity) are at
 least 80 % of the longer one's. That is a Jaccard similarity of the multisets of 2/3 or more; with 64 bands of 6 minima
@@ -11,10 +13,13 @@ a pair at that limit is missed with a chance of 0.3 %, one at 0.77 with less tha
 verified exactly on the words. For histories far larger than tens of millions of texts, raise ROWS and BANDS together.
 
 Within a batch the order of row ids decides: a row is a case if an accepted row before it matches, else it is accepted.
-That is settled in rounds over only those rows that share a key or a near text inside the batch.
+That is settled in rounds over only those rows that share a key or a near text inside the batch. Where one band key is
+held by more than HOT texts of the batch, texts that nothing before them can match are compared first, and what they
+catch is no partner any more, so a family of near texts costs its size, not its square.
 
 Defined results: null, empty or unparsable requests and those under MIN_WORDS words match by id and hash only; null ids
-and unusable hashes match nothing; equal word multisets are one class, kept once in the index by its first row.
+and unusable hashes match nothing; equal word multisets are one class, kept once in the index by its first row; rows
+without a batch number are in no batch.
 """
 
 from __future__ import annotations
@@ -35,7 +40,16 @@ SKETCH = 128
 #: Sketch bits that must agree before words are compared. At the limit of 2/3 about 106.7 of 128 do (deviation 4.2).
 AGREE = 90
 
-FEATURES = "words array<bigint>, s0 bigint, s1 bigint"
+#: A batch of so few keys hands them to the index's scan.
+FEW_KEYS = 500
+#: Rows a page of the index's files, so that such a scan reads little.
+PAGE = 20_000
+#: Appends after which the index's files are merged.
+COMPACT_AFTER = 32
+#: Texts of a batch with one band key beyond which the sure ones are settled first.
+HOT = 512
+
+FEATURES = "words array<bigint>, s0 bigint, s1 bigint, bands array<bigint>"
 
 
 def request_of_capture() -> Column:
@@ -65,21 +79,25 @@ def _multipliers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def feature_parts(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Word multiset (sorted, the k-th of a word as an element of its own) and sketch of each request."""
+    """Of each request the word multiset (sorted, the k-th of a word as an element of its own), the sketch and the band
+    keys: ROWS minima each, mixed with the number of the band. The sketch is one bit of some of the same minima."""
     import re
     import unicodedata
 
     import xxhash
 
     run = re.compile(r"[^\W_]+")
-    a, b = _multipliers(SKETCH, 11)
+    a, b = _multipliers(ROWS * BANDS, 7)
+    mix, _ = _multipliers(ROWS, 5)
+    number = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    sketched = np.arange(SKETCH) * (ROWS * BANDS // SKETCH)
     seen: dict[str, int] = {}
     for part in parts:
-        words, s0, s1 = [], [], []
+        rows = []
         for text in part:
             tokens = run.findall(unicodedata.normalize("NFKC", text).lower()) if text else []
             if len(tokens) < MIN_WORDS:
-                words.append(None), s0.append(None), s1.append(None)
+                rows.append((None, None, None, None))
                 continue
             counts: dict[str, int] = {}
             elements = np.empty(len(tokens), np.uint64)
@@ -95,10 +113,12 @@ def feature_parts(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
                 else:
                     elements[i] = xxhash.xxh64_intdigest(token, seed=k)
             elements.sort()
-            bits = np.packbits(_minima(elements, a, b) >> np.uint64(63) != 0).view(">i8")
-            words.append(elements.view(np.int64))
-            s0.append(int(bits[0])), s1.append(int(bits[1]))
-        yield pd.DataFrame({"words": words, "s0": pd.array(s0, dtype="Int64"), "s1": pd.array(s1, dtype="Int64")})
+            low = _minima(elements, a, b)
+            bits = np.packbits(low[sketched] >> np.uint64(63) != 0).view(">i8")
+            keys = (low.reshape(BANDS, ROWS) * mix).sum(axis=1, dtype=np.uint64) + number
+            rows.append((elements.view(np.int64), int(bits[0]), int(bits[1]), (keys ^ (keys >> np.uint64(29))).view(np.int64)))
+        words, s0, s1, bands = zip(*rows) if rows else ((), (), (), ())
+        yield pd.DataFrame({"words": words, "s0": pd.array(s0, dtype="Int64"), "s1": pd.array(s1, dtype="Int64"), "bands": bands})
 
 
 def _minima(elements: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -110,121 +130,197 @@ def _minima(elements: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return low * np.uint64(0x9E3779B97F4A7C15)
 
 
-def band_parts(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The band keys of word multisets: ROWS minima each, mixed with the number of the band."""
-    a, b = _multipliers(ROWS * BANDS, 7)
-    mix, _ = _multipliers(ROWS, 5)
-    number = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    for part in parts:
-        out = []
-        for words in part:
-            keys = (_minima(np.asarray(words, np.int64).view(np.uint64), a, b).reshape(BANDS, ROWS) * mix).sum(axis=1, dtype=np.uint64) + number
-            out.append((keys ^ (keys >> np.uint64(29))).view(np.int64))
-        yield pd.Series(out)
+def with_features(rows: DataFrame) -> DataFrame:
+    """Rows ready for the index: row_id, batch_no, keys (exact keys as two hashes each), text (the key of the word
+    multiset, also among keys), words, s0, s1, bands."""
+    f = rows.withColumn("f", F.pandas_udf(feature_parts, FEATURES)("request")).select("row_id", "batch_no", "own_id", "hash", "f.*")
+    pair = lambda *c: F.struct(F.xxhash64(F.lit(1), *c).alias("key"), F.xxhash64(F.lit(2), *c).bitwiseOR(F.lit(1)).alias("proof"))
+    text = F.when(F.col("words").isNotNull(), pair(F.lit("w"), F.col("words")))
+    own = [F.when(F.col(c).isNotNull(), pair(F.col(c))) for c in ("own_id", "hash")]
+    return f.select("row_id", "batch_no", F.array_compact(F.array(*own, text)).alias("keys"), text.alias("text"), "words", "s0", "s1", "bands")
 
 
-def with_features(rows: DataFrame) -> DataFrame:
-    """Rows ready for the index: row_id, batch_no, keys (exact keys as binary), words, s0, s1.
+def with_classes(batch: DataFrame) -> DataFrame:
+    """``batch`` with ``doc``, the first row that has its text; only that row keeps words, sketch and bands."""
+    firsts = batch.where("text is not null").groupBy("text").agg(F.min("row_id").alias("doc"))
+    first = lambda c: F.when(F.col("row_id") == F.col("doc"), F.col(c)).alias(c)
+    return batch.join(firsts, "text", "left").select("row_id", "doc", "keys", "text", *[first(c) for c in ("words", "s0", "s1", "bands")])
 
-    The last key, if there are words, is that of the word multiset.
-    """
-    f = rows.withColumn("f", F.pandas_udf(feature_parts, FEATURES)("request")).select("row_id", "batch_no", "own_id", "hash", "f.*")
-    multiset = F.when(F.col("words").isNotNull(), F.concat(F.lit("w:"), F.md5(F.array_join("words", ","))))
-    digest = [F.when(k.isNotNull(), F.unhex(F.md5(k))) for k in (F.col("own_id"), F.col("hash"), multiset)]
-    return f.select("row_id", "batch_no", F.array_compact(F.array(*digest[:2])).alias("keys"), digest[2].alias("text_key"), "words", "s0", "s1")
 
+def entries_of(rows: DataFrame, *more: str) -> DataFrame:
+    """One row a key: key, proof (second hash of an exact key, 0 of a band key), doc (the row's id) and ``more``."""
+    bands = F.transform(F.coalesce("bands", F.array().cast("array<bigint>")), lambda b: F.struct(b.alias("key"), F.lit(0).cast("bigint").alias("proof")))
+    return rows.select(F.col("row_id").alias("doc"), *more, F.inline(F.concat("keys", bands)))
 
-def near(candidates: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
-    """Verified near-identical pairs among ``candidates`` (doc, s0, s1, other). Returns doc, other.
 
-    ``texts`` holds the documents of ``doc`` and ``docs`` those of ``other``. Sketches are compared first, so words
-    travel only for the few pairs that pass.
-    """
-    sketches = docs.select(F.col("doc").alias("other"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))
-    alike = F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) <= SKETCH - AGREE
-    passed = candidates.join(sketches, "other").where(alike).select("doc", "other")
-    worded = passed.join(docs.select(F.col("doc").alias("other"), F.col("words").alias("other_words")), "other").join(texts.select("doc", "words"), "doc")
-    common = F.size(F.array_intersect("words", "other_words"))
-    return worded.where(common * 5 >= F.greatest(F.size("words"), F.size("other_words")) * 4).select("doc", "other")
+def alike(a0: str, a1: str, b0: str, b1: str) -> Column:
+    """Whether two sketches agree well enough for words to be compared."""
+    return F.bit_count(F.col(a0).bitwiseXOR(F.col(b0))) + F.bit_count(F.col(a1).bitwiseXOR(F.col(b1))) <= SKETCH - AGREE
+
+
+def enough_common(a: str, b: str) -> Column:
+    """Whether two word multisets are near-identical."""
+    return F.size(F.array_intersect(a, b)) * 5 >= F.greatest(F.size(a), F.size(b)) * 4
+
+
+TABLES = {"entries": ("key bigint, proof bigint, doc bigint", "key"), "docs": ("doc bigint, words array<bigint>, s0 bigint, s1 bigint", "doc")}
 
 
 class History:
     """The accepted rows, as an index that batches are checked against and added to."""
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None) -> None:
+    def __init__(self, spark: SparkSession, buckets: int | None = None, path: str | None = None) -> None:
         self.spark = spark
+        self.path = path or new_path(spark, "history")
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.path = new_path(spark, "history")
         self.name = f"pairloom_history_{uuid.uuid4().hex}"
-        for table, columns, by in (("ids", "key binary, row_id bigint", "key"), ("bands", "band bigint, doc bigint", "band"), ("docs", "doc bigint, words array<bigint>, s0 bigint, s1 bigint", "doc")):
-            spark.sql(f"CREATE TABLE {self.name}_{table} ({columns}) USING parquet CLUSTERED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{table}'")
+        self.appends = 0
+        self._state = f"{self.path}/state"
+        self.generation = 0
+        if path:
+            self.buckets, self.generation, self.appends = spark.read.json(self._state).select("buckets", "generation", "appends").first()
+        else:
+            self._keep()
+        self._declare()
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> History:
+        """The index that another session left in ``path``."""
+        return cls(spark, path=path)
+
+    def _keep(self) -> None:
+        row = [(self.buckets, self.generation, self.appends)]
+        self.spark.createDataFrame(row, "buckets int, generation int, appends int").coalesce(1).write.mode("overwrite").json(self._state)
+
+    def _declare(self) -> None:
+        for table, (columns, by) in TABLES.items():
+            self.spark.sql(f"CREATE TABLE {self._named(table)} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{table}-{self.generation}'")
+
+    def _named(self, table: str) -> str:
+        return f"{self.name}_{self.generation}_{table}"
 
     def _table(self, table: str) -> DataFrame:
-        return self.spark.table(f"{self.name}_{table}")
+        return self.spark.table(self._named(table))
+
+    def _append(self, table: str, df: DataFrame) -> None:
+        columns, by = TABLES[table]
+        df.select(*[c.split()[0] for c in columns.split(", ")]).repartition(self.buckets, by).sortWithinPartitions(by).write.option("parquet.page.row.count.limit", PAGE).option("parquet.enable.dictionary#key", "false").insertInto(self._named(table))
 
-    def _append(self, table: str, df: DataFrame, by: str) -> None:
-        df.repartition(self.buckets, by).sortWithinPartitions(*df.columns[-1:]).write.insertInto(f"{self.name}_{table}")
+    def close(self) -> None:
+        """Leave the index in its folder and forget it in this session."""
+        for table in TABLES:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._named(table)}")
 
     def drop(self) -> None:
         """Remove the index."""
-        for table in ("ids", "bands", "docs"):
-            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{table}")
+        self.close()
         discard(self.spark, self.path)
 
-    def accept(self, rows: DataFrame, classes: DataFrame | None = None, bands: DataFrame | None = None) -> None:
-        """Append accepted rows (of :func:`with_features`); only the first row of a key or text is indexed."""
-        keys = rows.select("row_id", F.explode(F.concat("keys", F.array_compact(F.array("text_key")))).alias("key"))
-        self._append("ids", keys.groupBy("key").agg(F.min("row_id").alias("row_id")), "key")
-        if classes is None:
-            classes, bands = spool(classes_of(rows), "history-classes"), None
-        self._append("docs", classes.select("doc", "words", "s0", "s1"), "doc")
-        bands = bands if bands is not None else banded(classes)
-        self._append("bands", bands.select("band", "doc"), "band")
+    def compact(self) -> None:
+        """Merge the files of all appends into one a bucket, in a new generation of the tables."""
+        old = {table: self._table(table) for table in TABLES}
+        names, before = [self._named(t) for t in TABLES], self.generation
+        self.generation, self.appends = self.generation + 1, 0
+        self._declare()
+        for table, df in old.items():
+            self._append(table, df)
+        self._keep()
+        for name, table in zip(names, TABLES):
+            self.spark.sql(f"DROP TABLE {name}")
+            discard(self.spark, f"{self.path}/{table}-{before}")
+
+    def accept(self, rows: DataFrame) -> None:
+        """Append accepted rows (row_id, keys, and words, s0, s1, bands on the first row of a text)."""
+        self._append("entries", entries_of(rows))
+        self._append("docs", rows.where("words is not null").withColumnRenamed("row_id", "doc"))
+        self.appends += 1
+        if self.appends >= COMPACT_AFTER:
+            self.compact()
+        else:
+            self._keep()
+
+    def start(self, batch: DataFrame) -> None:
+        """Accept a whole batch unchecked (the history to begin with); the first row of a key stands for it."""
+        rows = spool(with_classes(batch), "batch-rows")
+        exact = rows.select("row_id", F.inline("keys")).groupBy("key", "proof").agg(F.min("row_id").alias("doc"))
+        bands = rows.select(F.explode("bands").alias("key"), F.lit(0).cast("bigint").alias("proof"), "doc")
+        self._append("entries", exact.unionByName(bands))
+        self._append("docs", rows.where("words is not null"))
+        self.appends += 1
+        self._keep()
+        forget(rows)
 
     def take(self, batch: DataFrame) -> DataFrame:
         """Check one batch, add what is accepted, and return the cases: kept_row_id, dup_row_id (stored).
 
-        ``batch`` must be stored (:func:`pairloom.scratch.spool`). Rows of the batch come after all accepted rows.
+        ``batch``: rows of :func:`with_features`. Rows of the batch come after all accepted rows.
         """
-        classes = spool(classes_of(batch), "batch-classes")
-        bands = spool(banded(classes), "batch-bands")
-        # Near texts in the history and, in the same candidate set, among the batch's own texts.
-        old = bands.hint("shuffle_hash").join(self._table("bands").withColumnRenamed("doc", "other"), "band").select("doc", "s0", "s1", "other")
-        own = bands.join(bands.select("band", F.col("doc").alias("other")), "band").where("other < doc").select("doc", "s0", "s1", "other")
-        found_old = near(old.distinct(), classes, self._table("docs"))
-        found_own = near(own.distinct(), classes, classes)
-        pairs = spool(found_old.withColumn("old", F.lit(True)).unionByName(found_own.withColumn("old", F.lit(False))), "batch-pairs")
-
-        keys = batch.select("row_id", "text_key", F.explode(F.concat("keys", F.array_compact(F.array("text_key")))).alias("key"))
-        by_key = keys.join(self._table("ids").withColumnRenamed("row_id", "kept"), "key").select("row_id", "kept")
-        class_old = pairs.where("old").join(classes.select("doc", "text_key"), "doc").select("text_key", F.col("other").alias("kept"))
-        by_text = batch.select("row_id", "text_key").join(class_old, "text_key").select("row_id", "kept")
-        matched = spool(by_key.unionByName(by_text).where("kept < row_id").groupBy("row_id").agg(F.min("kept").alias("kept")), "batch-matched")
-
-        open_rows = batch.join(matched, "row_id", "left_anti")
-        inside = self._inside(open_rows, pairs.where("not old"), classes)
-        cases = spool(matched.unionByName(inside).select(F.col("kept").alias("kept_row_id"), F.col("row_id").alias("dup_row_id")), "cases")
-        good = batch.join(cases.select(F.col("dup_row_id").alias("row_id")), "row_id", "left_anti")
+        rows = spool(with_classes(batch), "batch-rows")
+        pushed = "spark.sql.parquet.pushdown.inFilterThreshold"
+        before = self.spark.conf.get(pushed)
+        self.spark.conf.set(pushed, str(FEW_KEYS))
+        try:
+            matched = spool(self.probe(rows), "batch-matched")
+        finally:
+            self.spark.conf.set(pushed, before)
+        rest = rows.join(matched.select("row_id"), "row_id", "left_anti")
+        inside = self._inside(rows, rest)
+        found = matched if inside is None else matched.unionByName(inside)
+        cases = spool(found.select(F.col("kept").alias("kept_row_id"), F.col("row_id").alias("dup_row_id")), "cases")
+        good = rows.join(cases.select(F.col("dup_row_id").alias("row_id")), "row_id", "left_anti")
         # A text enters the index by its first accepted row, which need not be the first row of the batch with it.
-        firsts = good.where("text_key is not null").groupBy("text_key").agg(F.min("row_id").alias("first"))
-        new = classes.join(firsts, "text_key")
-        new_bands = bands.select("band", "doc").join(new.select("doc", "first"), "doc").select("band", F.col("first").alias("doc"))
-        self.accept(good, new.select(F.col("first").alias("doc"), "words", "s0", "s1"), new_bands)
-        forget(classes, bands, pairs, matched)
+        firsts = good.where("doc is not null").groupBy("doc").agg(F.min("row_id").alias("first"))
+        texts = rows.where("bands is not null").select("doc", "words", "s0", "s1", "bands").join(firsts, "doc").select(F.col("first").alias("row_id"), F.array().cast("array<struct<key:bigint,proof:bigint>>").alias("keys"), "words", "s0", "s1", "bands")
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("words", "array<bigint>"), ("s0", "bigint"), ("s1", "bigint"), ("bands", "array<bigint>"))]
+        self.accept(good.select("row_id", "keys", *none).unionByName(texts))
+        forget(rows, matched)
         return cases
 
-    def _inside(self, open_rows: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        """Cases whose match is an accepted row of the same batch: row_id, kept."""
-        keys = open_rows.select("row_id", "text_key", F.explode(F.concat("keys", F.array_compact(F.array("text_key")))).alias("key"))
-        key_of = classes.select("doc", "text_key")
-        edge = pairs.join(key_of, "doc").withColumnRenamed("text_key", "k1").join(key_of.select(F.col("doc").alias("other"), F.col("text_key").alias("k2")), "other").select("k1", "k2")
-        both = edge.unionByName(edge.select(F.col("k2").alias("k1"), F.col("k1").alias("k2"))).distinct()
+    def probe(self, rows: DataFrame) -> DataFrame:
+        """Rows of :func:`with_classes` that an accepted row before them matches: row_id, kept (the smallest such row)."""
+        asked = entries_of(rows, "s0", "s1")
+        held = self._table("entries").select("key", F.col("proof").alias("held_proof"), F.col("doc").alias("other"))
+        few = [r[0] for r in asked.select("key").distinct().limit(FEW_KEYS + 1).collect()] if rows.count() <= FEW_KEYS else []
+        if few and len(few) <= FEW_KEYS:
+            # So few keys reach the scan as a filter: other buckets and pages of the sorted files are not read.
+            held = held.where(F.col("key").isin(few))
+        met = asked.hint("shuffle_hash").join(held, "key").where(F.col("proof").bitwiseXOR(F.col("held_proof")) == 0)
+        met = met.select("doc", "s0", "s1", "other", (F.col("proof") != 0).alias("exact")).repartition(self.buckets, "other").distinct()
+        docs = self._table("docs").select(F.col("doc").alias("other"), F.col("words").alias("other_words"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))
+        passed = met.join(docs, "other", "left").where(F.col("exact") | alike("s0", "s1", "t0", "t1"))
+        texts = rows.where("words is not null").select("doc", "words")
+        found = passed.join(texts, "doc", "left").where(F.col("exact") | enough_common("words", "other_words")).select("doc", "exact", "other")
+        # An exact key speaks for its row, a near text for all rows that have it.
+        means = rows.select("row_id", F.inline(F.array(F.struct(F.col("row_id").alias("doc"), F.lit(True).alias("exact")), F.struct("doc", F.lit(False).alias("exact")))))
+        return found.join(means, ["doc", "exact"]).where("other < row_id").groupBy("row_id").agg(F.min("other").alias("kept"))
+
+    def _inside(self, rows: DataFrame, rest: DataFrame) -> DataFrame | None:
+        """Cases among ``rest`` whose match is an accepted row of the same batch: row_id, kept; None if none can be.
+
+        Only entries whose key comes more than once go on.
+        """
+        texts = rows.where("bands is not null").join(rest.select("doc").distinct(), "doc", "left_semi")
+        bare = rest.select("row_id", "keys", *[F.lit(None).cast(t).alias(c) for c, t in (("s0", "bigint"), ("s1", "bigint"), ("bands", "array<bigint>"))])
+        own = texts.select("row_id", F.array().cast("array<struct<key:bigint,proof:bigint>>").alias("keys"), "s0", "s1", "bands")
+        every = entries_of(bare.unionByName(own), "s0", "s1")
+        several = every.groupBy("key", "proof").agg(F.count("*").alias("n")).where("n > 1")
+        shared = spool(every.join(several, ["key", "proof"]), "batch-shared")
+        size, largest = shared.agg(F.count("*"), F.max(F.when(F.col("proof") == 0, F.col("n")))).first()
+        if not size:
+            forget(shared)
+            return None
+        pairs = near_inside(shared, texts.select("doc", "words"), rest.select(F.col("row_id").alias("doc")), largest or 0)
+        key_of = rows.where("bands is not null").select("doc", "text")
+        edge = pairs.join(key_of, "doc").withColumnRenamed("text", "mine").join(key_of.select(F.col("doc").alias("other"), F.col("text").alias("theirs")), "other").select("mine", "theirs")
+        both = edge.unionByName(edge.select(F.col("theirs").alias("mine"), F.col("mine").alias("theirs"))).distinct()
         # Links: a row owns its keys, and is held up by the owners of texts near its own.
-        foreign = keys.where("key = text_key").join(both, F.col("text_key") == F.col("k1")).select("row_id", F.col("k2").alias("key"), F.lit(False).alias("own"))
-        linked = keys.select("row_id", "key", F.lit(True).alias("own")).unionByName(foreign)
-        shared = linked.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-        links = spool(linked.join(shared, "key"), "batch-links")
+        owned = rest.select("row_id", F.explode("keys").alias("key"), F.lit(True).alias("own"))
+        foreign = rest.where("text is not null").join(both, F.col("text") == F.col("mine")).select("row_id", F.col("theirs").alias("key"), F.lit(False).alias("own"))
+        linked = owned.unionByName(foreign)
+        repeated = linked.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        links = spool(linked.join(repeated, "key"), "batch-links")
         state = links.select("row_id").distinct().withColumn("accepted", F.lit(None).cast("boolean"))
+        past = []
         while not state.where("accepted is null").isEmpty():
             now = links.join(state, "row_id")
             owners = now.where("own").groupBy("key").agg(F.min(F.when(F.col("accepted"), F.col("row_id"))).alias("first_in"), F.min(F.when(F.col("accepted").isNull(), F.col("row_id"))).alias("first_open"))
@@ -236,31 +332,70 @@ class History:
                 .select("row_id", F.when(F.col("hit"), False).when(~F.col("held"), True).alias("accepted"))
             )
             state = spool(state.where("accepted is not null").unionByName(seen), "batch-state")
+            past.append(state)
         final = links.join(state, "row_id")
         first_in = final.where("own and accepted").groupBy("key").agg(F.min("row_id").alias("kept"))
-        return final.where("not accepted").join(first_in, "key").where("kept < row_id").groupBy("row_id").agg(F.min("kept").alias("kept"))
+        inside = spool(final.where("not accepted").join(first_in, "key").where("kept < row_id").groupBy("row_id").agg(F.min("kept").alias("kept")), "batch-inside")
+        forget(shared, links, *past)
+        return inside
 
 
-def classes_of(rows: DataFrame) -> DataFrame:
-    """One row a distinct word multiset: text_key, doc (its first row), words, s0, s1."""
-    return rows.where("text_key is not null").groupBy("text_key").agg(F.min_by(F.struct(F.col("row_id").alias("doc"), "words", "s0", "s1"), "row_id").alias("x")).select("text_key", "x.*")
+def verified(candidates: DataFrame, words: DataFrame) -> DataFrame:
+    """Which candidates (doc, other) are near-identical, by ``words`` (doc, words)."""
+    mine = candidates.join(words, "doc")
+    return mine.join(words.select(F.col("doc").alias("other"), F.col("words").alias("other_words")), "other").where(enough_common("words", "other_words")).select("doc", "other")
 
 
-def banded(classes: DataFrame) -> DataFrame:
-    """The band keys of classes: band, doc, s0, s1."""
-    return classes.withColumn("bands", F.pandas_udf(band_parts, "array<bigint>")("words")).select(F.explode("bands").alias("band"), "doc", "s0", "s1")
+def near_inside(shared: DataFrame, words: DataFrame, undecided: DataFrame, largest: int) -> DataFrame:
+    """Near-identical texts within a batch: doc, other (the smaller), at least for every other that may be accepted.
+
+    ``shared``: entries (key, proof, doc, s0, s1) whose key comes more than once; ``undecided``: the rows (doc) that
+    may be accepted; ``largest``: how often the most frequent band key comes. Candidates of one band meet in a join that
+    compares sketches, so only likely pairs leave it. While a band is held by more than HOT texts, one round settles
+    the texts that nothing before them can match: each is accepted, what it catches is not, and what is not accepted
+    is never the ``other`` of a pair.
+    """
+    found, mine, other = [], shared.where("proof = 0"), shared.where("proof = 0")
+    if largest > HOT:
+        exact = shared.where("proof <> 0")
+        later = exact.join(exact.groupBy("key", "proof").agg(F.min("doc").alias("first")), ["key", "proof"]).where("doc > first")
+        able = spool(undecided.join(later.select("doc").distinct(), "doc", "left_anti"), "batch-able")
+    while largest > HOT:
+        ranked = other.join(other.groupBy("key").agg(F.min("doc").alias("first")), "key")
+        firsts = ranked.groupBy("doc").agg(F.bool_and(F.col("doc") == F.col("first")).alias("sure")).where("sure").select("doc")
+        sure = spool(firsts.join(able, "doc", "left_semi"), "batch-sure")
+        leads = ranked.where("doc = first").join(sure, "doc").select("key", F.col("doc").alias("other"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))
+        met = mine.join(leads, "key").where((F.col("other") < F.col("doc")) & alike("s0", "s1", "t0", "t1"))
+        pairs = spool(verified(met.select("doc", "other").distinct(), words), "batch-pairs")
+        found.append(pairs)
+        other = spool(other.join(sure.unionByName(pairs.select("doc")).distinct(), "doc", "left_anti"), "batch-open")
+        mine = mine.join(sure, "doc", "left_anti")
+        now = other.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if now > largest / 2:  # many texts share a band without being near: the join below is for those
+            break
+        largest = now
+    band = other.select("key", F.col("doc").alias("other"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))
+    met = mine.join(band, "key").where((F.col("other") < F.col("doc")) & alike("s0", "s1", "t0", "t1"))
+    out = verified(met.select("doc", "other").distinct(), words)
+    for pairs in found:
+        out = out.unionByName(pairs)
+    return out
 
 
 def replay_batches(rows: DataFrame, first: int = 0) -> DataFrame:
     """Take batch ``first`` as accepted and every later batch in turn: all cases, kept_row_id and dup_row_id."""
     spark = rows.sparkSession
-    ready = spool(with_features(rows), "history-features")
+    path = new_path(spark, "history-features")
+    ready = with_features(rows.where("batch_no is not null"))
+    ready.write.partitionBy("batch_no").option("parquet.enable.dictionary", "false").parquet(path)
+    stored = spark.read.schema(ready.schema).parquet(path)
     history = History(spark)
-    history.accept(ready.where(F.col("batch_no") == first))
-    numbers = [r[0] for r in ready.select("batch_no").where(F.col("batch_no") > first).distinct().orderBy("batch_no").collect()]
-    cases = ready.select(F.col("row_id").alias("kept_row_id"), F.col("row_id").alias("dup_row_id")).limit(0)
+    history.start(stored.where(F.col("batch_no") == first))
+    numbers = [r[0] for r in stored.select("batch_no").where(F.col("batch_no") > first).distinct().orderBy("batch_no").collect()]
+    cases = stored.select(F.col("row_id").alias("kept_row_id"), F.col("row_id").alias("dup_row_id")).limit(0)
     for number in numbers:
-        cases = cases.unionByName(history.take(ready.where(F.col("batch_no") == number)))
+        cases = cases.unionByName(history.take(stored.where(F.col("batch_no") == number)))
+        discard(spark, f"{path}/batch_no={number}")
         release(spark)
     history.drop()
     return cases

@@ -134,6 +134,64 @@ def test_history_equals_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == brute(data) and got
 
 
+def test_hot_families_are_settled_without_all_pairs(spark, monkeypatch):
+    rng = random.Random(6)  # no pair of this seed misses its bands
+    base = [f"t{i}" for i in range(40)]
+    data = []
+    for i in range(260):
+        words = list(base)
+        for _ in range(rng.randrange(0, 14)):
+            words[rng.randrange(40)] = f"x{rng.randrange(30)}"
+        data.append((i, rng.choice([1, 1, 1, 2]), rng.choice([None, f"c:{rng.randrange(60)}"]), None, " ".join(words)))
+    df = spark.createDataFrame(data, "row_id bigint, batch_no int, own_id string, hash string, request string")
+    monkeypatch.setattr(H, "HOT", 4)
+    want = {(k, r) for k, r in brute([(r + 1000 * b, b, o, h, t) for r, b, o, h, t in data])}
+    got = H.replay_batches(df.withColumn("row_id", F.col("row_id") + 1000 * F.col("batch_no")))
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 100
+
+
+def test_an_index_goes_on_in_another_session_and_is_read_by_key(spark, monkeypatch):
+    monkeypatch.setattr(H, "PAGE", 50)
+    monkeypatch.setattr(H, "COMPACT_AFTER", 3)
+    schema = "row_id bigint, batch_no int, own_id string, hash string, request string"
+    text = lambda i: " ".join(f"w{i}_{k}" for k in range(25))
+    read = {}
+    for size in (300, 3000):
+        history = H.History(spark, buckets=16)
+        history.start(H.with_features(spark.createDataFrame([(i, 0, f"c:{i}", None, text(i)) for i in range(size)], schema)))
+        path = history.path
+        history.close()
+        history = H.History.open(spark, path)
+        batch = H.with_features(spark.createDataFrame([(size + 1, 1, "c:x", None, text(7) + " more"), (size + 2, 1, "c:8", None, None), (size + 3, 1, "c:y", None, "new")], schema))
+        rows_ = H.spool(H.with_classes(batch), "probe")
+        spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", str(H.FEW_KEYS))
+        probe = history.probe(rows_)
+        assert rows(probe) == [(7, size + 1), (8, size + 2)]
+        read[size] = sum(_scanned(probe._jdf.queryExecution().executedPlan(), "entries"))
+        spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", "10")
+        assert rows(history.take(batch)) == [(size + 1, 7), (size + 2, 8)]
+        again = H.with_features(spark.createDataFrame([(size + 9, 2, "c:y", None, text(7))], schema))
+        assert rows(history.take(again)) == [(size + 9, 7)] and history.generation == 1 and history.appends == 0
+        assert rows(history.take(again)) == [(size + 9, 7)]
+        history.drop()
+    # Ten times the history, the same batch: the scan reads about the same rows.
+    assert 0 < read[3000] < 3 * read[300] + 2000 and read[3000] < 3000 * 64 / 4
+
+
+def _scanned(plan, table):
+    """Rows that the scans of a table read."""
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        yield from _scanned(plan.executedPlan(), table)
+        return
+    if plan.getClass().getSimpleName().endswith("QueryStageExec"):
+        yield from _scanned(plan.plan(), table)
+        return
+    if plan.getClass().getSimpleName() == "FileSourceScanExec" and table in plan.simpleStringWithNodeId():
+        yield plan.metrics().apply("numOutputRows").value()
+    for i in range(plan.children().size()):
+        yield from _scanned(plan.children().apply(i), table)
+
+
 def test_requests_hashes_and_long_texts(spark):
     df = spark.createDataFrame([("SHA256:" + "A" * 64,), ("a" * 64,), ("0" * 64,), ("sha256:" + "0" * 64,), ("xyz",), ("",), (None,)], "h string")
     assert [r[0] for r in df.select(H.usable_hash(F.col("h"))).collect()] == ["a" * 64, "a" * 64, None, None, None, None, None]
