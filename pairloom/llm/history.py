@@ -193,8 +193,10 @@ class History:
         self.spark.createDataFrame(row, "buckets int, generation int, appends int").coalesce(1).write.mode("overwrite").json(self._state)
 
     def _declare(self) -> None:
+        # Keys are random, so a dictionary of them is wasted work.
+        options = f"'parquet.page.row.count.limit' = '{PAGE}', 'parquet.enable.dictionary#key' = 'false'"
         for table, (columns, by) in TABLES.items():
-            self.spark.sql(f"CREATE TABLE {self._named(table)} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{table}-{self.generation}'")
+            self.spark.sql(f"CREATE TABLE {self._named(table)} ({columns}) USING parquet OPTIONS ({options}) CLUSTERED BY ({by}) SORTED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{table}-{self.generation}'")
 
     def _named(self, table: str) -> str:
         return f"{self.name}_{self.generation}_{table}"
@@ -204,7 +206,7 @@ class History:
 
     def _append(self, table: str, df: DataFrame) -> None:
         columns, by = TABLES[table]
-        df.select(*[c.split()[0] for c in columns.split(", ")]).repartition(self.buckets, by).sortWithinPartitions(by).write.option("parquet.page.row.count.limit", PAGE).option("parquet.enable.dictionary#key", "false").insertInto(self._named(table))
+        df.select(*[c.split()[0] for c in columns.split(", ")]).repartition(self.buckets, by).sortWithinPartitions(by).write.insertInto(self._named(table))
 
     def close(self) -> None:
         """Leave the index in its folder and forget it in this session."""

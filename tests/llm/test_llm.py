@@ -305,6 +305,36 @@ def test_the_largest_mix_under_caps():
     assert M.solve({a: 5}, {"a": 0}, {"a": 1}) == (0, []) and M.solve({}, {"a": 1}, {"a": 1}) == (0, [])
 
 
+def test_many_patterns_and_cuts_against_brute_force():
+    rng = random.Random(4)
+    for _ in range(200):
+        sources = "abcd"[: rng.randrange(1, 5)]
+        patterns = {frozenset(rng.sample(sources, rng.randrange(1, len(sources) + 1))): rng.randrange(0, 30) for _ in range(rng.randrange(1, 8))}
+        weights, repeats = {s: float(rng.randrange(0, 4)) for s in sources}, {s: rng.randrange(0, 4) for s in sources}
+        total, flow = M.solve(patterns, weights, repeats)
+        held = {s for p, n in patterns.items() if n for s in p}
+        wanted = {s: w for s, w in weights.items() if w and s in held and repeats[s]}
+        quota = lambda t: {s: int(t * w / sum(wanted.values())) for s, w in wanted.items()}
+
+        def feasible(t):  # Gale: no set of sources wants more than all that can serve it
+            q = quota(t)
+            sets = [{s for i, s in enumerate(sorted(wanted)) if k >> i & 1} for k in range(1, 1 << len(wanted))]
+            return all(sum(q[s] for s in x) <= sum(n * max([repeats[s] for s in p if s in x], default=0) for p, n in patterns.items()) for x in sets)
+
+        assert not wanted and (total, flow) == (0, []) or feasible(total) and not feasible(total + 1)
+        reached, used = Counter(), Counter()
+        for p, use, s, n in flow:
+            reached[s] += n
+            used[p, use] += n
+            assert s in p and use <= repeats[s]
+        assert all(reached[s] == q for s, q in quota(total).items()) if wanted else True
+        assert all(n <= patterns[p] for (p, _), n in used.items())
+    many = {frozenset(f"s{i}" for i in range(16) if k >> i & 1): 50 for k in range(1, 20_001)}
+    names = {f"s{i}": 1.0 for i in range(15)}
+    total, flow = M.solve(many, names, dict.fromkeys(names, 2))
+    assert total >= 20_000 * 50 and max(u for _, u, _, _ in flow) == 2
+
+
 @needs_vocabulary
 def test_mix_reaches_its_shares(spark):
     rng = random.Random(5)
@@ -350,11 +380,14 @@ def test_levels_separate_plain_from_learned_prose(spark):
 
 
 def test_exact_ranks_beyond_the_list(spark, monkeypatch):
-    docs = [(i, " ".join(chr(97 + j) * 3 for j in range(i + 1)) + ".", "en") for i in range(20)]
+    docs = [(i, " ".join(chr(97 + j) * 3 for j in range(i + 1)) + ".", "en" if i % 3 else "de") for i in range(20)]
     measured = reading.measures(spark.createDataFrame(docs, "doc_id bigint, text string, lang string"))
     full = rows(reading.coverage(measured, reading.vocabulary(measured)).select("doc_id", "rank"))
-    monkeypatch.setattr(reading, "LISTED", 3)
-    assert rows(reading.coverage(measured, reading.vocabulary(measured)).select("doc_id", "rank")) == full
+    whole = rows(reading.coverage(measured, reading.vocabulary(measured)))
+    for listed in (3, 0):
+        monkeypatch.setattr(reading, "LISTED", listed)
+        assert rows(reading.coverage(measured, reading.vocabulary(measured)).select("doc_id", "rank")) == full
+        assert rows(reading.coverage(measured, reading.vocabulary(measured))) == whole
     for doc, rank in full:
         assert rank == math.ceil((doc + 1) / 2)
 
