@@ -1,16 +1,19 @@
 """Mixes of sources with wanted token shares, by min-cost flow over membership patterns.
 
 Documents with the same text are one unit; the set of sources it comes from is its pattern. Units are aggregated by
-pattern, and a small network is solved on the driver: from each pattern, one arc a repetition (the k-th use of a
-unit costs k - 1, so repetition is spread evenly and comes last), to the quotas of its sources. The mix is the largest
-in which every source that has documents reaches its share exactly; the selection follows the flow.
+pattern, and a small network is solved on the driver: the tokens of a pattern, once for every use (the k-th use of a
+unit costs k - 1, so repetition is spread evenly and comes last), flow to the quotas of its sources. The mix is the
+largest in which every source that has documents reaches its share exactly; the selection follows the flow.
 
-A pattern's units stand in a seeded order by their tokens; an arc takes a stretch of that order, so a share is met to
+As only the uses cost something, filling the quotas use by use, cheapest first, gives the flow of least cost. Patterns
+that reach the same sources are one node, and paths run over sources only, so tens of thousands of patterns are no
+matter. The largest total comes from the cuts: a set of sources that stays short names the total it allows, and a few
+such steps end at the largest feasible one.
+
+A pattern's units stand in a seeded order by their tokens; a flow takes a stretch of that order, so a share is met to
 within one unit a stretch. The order is cut into buckets whose totals are aggregated first, so no pattern, however
 large, is sorted in one task.
 
-The network has one node a pattern in use (at most MAX_PATTERNS, checked) and one a source.
-
 Defined results: documents without source, text or tokens are in no mix; a source with weight 0, or without documents,
 has no quota and its share goes to the others in proportion; negative and null weights count as 0; a unit that two
 sources hold is used for either, each time once; max_repeats below 1 or null excludes the source.
@@ -26,81 +29,128 @@ from pyspark.sql import functions as F
 from pairloom.llm.tokenizer import VOCABULARY, with_token_count
 from pairloom.scratch import spool
 
-MAX_PATTERNS = 10_000
 BUCKETS = 1024
 
-
-class Network:
-    """Min-cost flow by successive cheapest paths; integer capacities."""
-
-    def __init__(self) -> None:
-        self.arcs: list[list[int]] = []  # to, capacity left, cost
-        self.out: dict[object, list[int]] = defaultdict(list)
-
-    def arc(self, a: object, b: object, capacity: int, cost: int) -> int:
-        self.out[a].append(len(self.arcs))
-        self.arcs.append([b, capacity, cost])
-        self.out[b].append(len(self.arcs))
-        self.arcs.append([a, 0, -cost])
-        return len(self.arcs) - 2
-
-    def push(self, source: object, sink: object, want: int) -> int:
-        sent = 0
-        while sent < want:
-            cost, came, waiting = {source: 0}, {}, deque([source])
-            queued = {source}
-            while waiting:
-                a = waiting.popleft()
-                queued.discard(a)
-                for i in self.out[a]:
-                    b, left, price = self.arcs[i]
-                    if left > 0 and cost[a] + price < cost.get(b, 1 << 60):
-                        cost[b], came[b] = cost[a] + price, i
-                        if b not in queued:
-                            queued.add(b)
-                            waiting.append(b)
-            if sink not in came:
-                break
-            path, at = [], sink
-            while at != source:
-                path.append(came[at])
-                at = self.arcs[came[at] ^ 1][0]
-            amount = min([want - sent, *(self.arcs[i][1] for i in path)])
-            for i in path:
-                self.arcs[i][1] -= amount
-                self.arcs[i ^ 1][1] += amount
-            sent += amount
-        return sent
-
-
-def solve(patterns: dict[frozenset[str], int], weights: dict[str, float], repeats: dict[str, int], total: int | None = None) -> tuple[int, list[tuple[frozenset[str], int, str, int]]]:
+Flow = list[tuple[frozenset[str], int, str, int]]
+
+
+class Filling:
+    """Tokens of nodes (sets of sources they may serve) assigned to the quotas of sources, node after node."""
+
+    def __init__(self, quota: dict[str, int]) -> None:
+        self.short = dict(quota)
+        self.given: list[tuple[frozenset[str], dict[str, int]]] = []  # reach of a node, and tokens a source
+        self.holds: dict[tuple[str, str], dict[int, None]] = defaultdict(dict)  # (a, b): nodes that serve a and may serve b
+        self.closed: set[str] = set()  # sources from which nothing can be passed on to one that is short
+
+    def _add(self, node: int, source: str, amount: int) -> None:
+        reach, given = self.given[node]
+        given[source] = given.get(source, 0) + amount
+        for other in reach:
+            if other != source:
+                if given[source]:
+                    self.holds[source, other][node] = None
+                else:
+                    self.holds[source, other].pop(node, None)
+
+    def _path(self, start: list[str]) -> list[str] | None:
+        """Sources from one of ``start`` to one that is short, each passing tokens on to the next."""
+        came: dict[str, str | None] = dict.fromkeys(start)
+        waiting = deque(start)
+        while waiting:
+            a = waiting.popleft()
+            if self.short[a] > 0:
+                path = [a]
+                while (before := came[path[-1]]) is not None:
+                    path.append(before)
+                return path[::-1]
+            for b in self.short:
+                if b not in came and self.holds.get((a, b)):
+                    came[b] = a
+                    waiting.append(b)
+        self.closed.update(came)
+        return None
+
+    def pour(self, reach: frozenset[str], tokens: int) -> None:
+        """Give a node's tokens to its sources as far as anything is short."""
+        self.given.append((reach, {}))
+        node, start = len(self.given) - 1, sorted(reach - self.closed)
+        while tokens and start and (path := self._path(start)):
+            movers = [next(iter(self.holds[a, b])) for a, b in zip(path, path[1:])]
+            amount = min([tokens, self.short[path[-1]], *(self.given[m][1][a] for m, a in zip(movers, path))])
+            self._add(node, path[0], amount)
+            for m, a, b in zip(movers, path, path[1:]):
+                self._add(m, a, -amount)
+                self._add(m, b, amount)
+            self.short[path[-1]] -= amount
+            tokens -= amount
+
+    def cut(self) -> set[str]:
+        """The sources that stay short, with those that could only help them by what they lack themselves."""
+        found = {s for s, n in self.short.items() if n > 0}
+        waiting = deque(found)
+        while waiting:
+            b = waiting.popleft()
+            for a in self.short:
+                if a not in found and self.holds.get((a, b)):
+                    found.add(a)
+                    waiting.append(a)
+        return found
+
+
+def solve(patterns: dict[frozenset[str], int], weights: dict[str, float], repeats: dict[str, int], total: int | None = None) -> tuple[int, Flow]:
     """The mix's tokens and the flow: (pattern, use, source, tokens), for the largest feasible total or ``total``."""
     held = {s for p, size in patterns.items() if size > 0 for s in p}
     wanted = {s: w for s, w in weights.items() if w and w > 0 and s in held and (repeats.get(s) or 0) >= 1}
     scale = sum(wanted.values())
     if not wanted:
         return 0, []
-
-    def flow(tokens: int) -> tuple[int, int, list[tuple[frozenset[str], int, str, int]]]:
-        net, arcs, quota = Network(), [], {s: int(tokens * w / scale) for s, w in wanted.items()}
-        for p, size in patterns.items():
-            for use in range(1, max((repeats[s] for s in p if s in wanted), default=0) + 1):
-                net.arc("from", (p, use), size, use - 1)
-                arcs += [(p, use, s, net.arc((p, use), s, size, 0)) for s in sorted(p) if s in wanted and use <= repeats[s]]
-        for s, q in quota.items():
-            net.arc(s, "to", q, 0)
-        need = sum(quota.values())
-        sent = net.push("from", "to", need)
-        return sent, need, [(p, use, s, net.arcs[i ^ 1][1]) for p, use, s, i in arcs if net.arcs[i ^ 1][1]]
-
-    low, high = 0, sum(size * max((repeats[s] for s in p if s in wanted), default=0) for p, size in patterns.items())
+    # One node a use and set of sources that it may serve; uses in order, as they cost.
+    members: dict[tuple[int, tuple[str, ...]], list[tuple[frozenset[str], int]]] = defaultdict(list)
+    for p, size in sorted(patterns.items(), key=lambda x: sorted(x[0])):
+        own = [s for s in sorted(p) if s in wanted and size > 0]
+        for use in range(1, max((repeats[s] for s in own), default=0) + 1):
+            members[use, tuple(s for s in own if repeats[s] >= use)].append((p, size))
+    nodes = sorted((use, reach, sum(size for _, size in held_by)) for (use, reach), held_by in members.items())
+
+    def quota(tokens: int) -> dict[str, int]:
+        return {s: int(tokens * w / scale) for s, w in wanted.items()}
+
+    def allowed(sources: set[str], upto: int) -> int:
+        """The largest total whose quotas of ``sources`` do not exceed all that can serve them."""
+        room = sum(size for _, reach, size in nodes if not sources.isdisjoint(reach))
+        low, high = 0, upto
+        while low < high:
+            middle = (low + high + 1) // 2
+            q = quota(middle)
+            low, high = (middle, high) if sum(q[s] for s in sources) <= room else (low, middle - 1)
+        return low
+
+    best = sum(size for _, _, size in nodes) + len(wanted)
     if total is not None:
-        high = min(high, total)
-    while low < high:
-        middle = (low + high + 1) // 2
-        sent, need, _ = flow(middle)
-        low, high = (middle, high) if sent == need else (low, middle - 1)
-    return low, flow(low)[2]
+        best = min(best, total)
+    best = allowed(set(wanted), best)
+    while True:
+        filling = Filling(quota(best))
+        for _, reach, size in nodes:
+            filling.pour(frozenset(reach), size)
+        if not (short := filling.cut()):
+            break
+        best = allowed(short, best)
+    flow: Flow = []
+    for (use, reach, _), (_, given) in zip(nodes, filling.given):
+        # The node's tokens go to its patterns in order.
+        parts = iter(members[use, reach])
+        p, left = next(parts)
+        for s in sorted(given):
+            amount = given[s]
+            while amount:
+                if not left:
+                    p, left = next(parts)
+                taken = min(amount, left)
+                flow.append((p, use, s, taken))
+                amount, left = amount - taken, left - taken
+    return best, flow
 
 
 def mix(documents: DataFrame, targets: DataFrame, seed: int = 0, total: int | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -120,9 +170,7 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 0, total: int | No
     inner = Window.partitionBy("pattern", "bucket").orderBy(F.xxhash64("unit", F.lit(seed + 1)), "unit")
     placed = units.join(offsets.select("pattern", "bucket", "offset"), ["pattern", "bucket"]).withColumn("start", F.col("offset") + F.sum("tokens").over(inner) - F.col("tokens"))
 
-    sizes = sums.groupBy("pattern").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
-    if len(sizes) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} combinations of sources")
+    sizes = sums.groupBy("pattern").agg(F.sum("size").alias("size")).collect()  # one row a combination of sources
     # In a fixed order: several flows can cost the same, and the one found must not depend on the order of arrival.
     patterns = {frozenset(r["pattern"]): r["size"] for r in sorted(sizes, key=lambda r: r["pattern"])}
     wanted: dict[str, dict[str, tuple[float, int]]] = defaultdict(dict)
@@ -140,7 +188,7 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 0, total: int | No
     table = spark.createDataFrame(stretches, "mix_name string, pattern array<string>, source string, begin bigint, finish bigint")
     # A unit belongs to the stretch in which its middle lies.
     middle = F.col("start") + F.floor(F.col("tokens") / 2)
-    taken = placed.join(F.broadcast(table), "pattern").where((middle >= F.col("begin")) & (middle < F.col("finish")))
+    taken = placed.join(table, "pattern").where((middle >= F.col("begin")) & (middle < F.col("finish")))
     own = F.filter("members", lambda m: m["source"] == F.col("source"))
     return taken.groupBy("mix_name", "source", "unit").agg(F.count("*").cast("int").alias("copies"), F.first("tokens").alias("tokens"), F.first(F.element_at(own, 1)["doc_id"]).alias("doc_id")).select("mix_name", "source", "doc_id", "copies", "tokens")
 
