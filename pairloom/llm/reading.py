@@ -2,14 +2,14 @@
 
 The vocabulary is ranked by frequency over the whole corpus. A document's coverage rank is the size of the smallest
 frequency-ranked vocabulary that covers SHARE of its words (words of equal frequency enter together). With the sentence
-measures it goes through one logistic step a band, fitted by SQL aggregates over all labels (iteratively reweighted
-least squares; every round is one aggregation, no row reaches the driver, only the sums do).
+measures it goes through one logistic step a band, fitted over all labels by iteratively reweighted least squares:
+SQL forms the normal equations of every label and adds them up, the driver gets the sums and solves them.
 
 English prose is told from the text alone: most of it must be plain words, and its words must be those of documents
 labelled English (the labels may be wrong one by one, over the corpus they are not).
 
-The list of the LISTED most frequent words is broadcast; its size is that bound. A document of whose words less than
-SHARE is on it gets its rank by an exact join with the whole vocabulary.
+The list of the LISTED most frequent words is broadcast; its size is that bound, and it changes only the speed: words
+that are not on it go through a join with the whole vocabulary.
 
 Defined results: null, empty and wordless texts have null measures, no level and are no prose; with no usable labels
 there are no levels; equal frequencies are one step of the ranking.
@@ -18,6 +18,7 @@ there are no levels; equal frequencies are one step of the ranking.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +31,10 @@ from pairloom.scratch import spool
 SHARE = 0.5
 LISTED = 20_000
 PLAIN, ENGLISH = 0.7, 0.5
-ROUNDS, RIDGE = 10, 1.0
+ROUNDS, RIDGE, SETTLED = 50, 1.0, 1e-3
 BANDS = (2, 3, 4, 5)
 
-MEASURES = "words array<struct<word:string,n:int>>, tokens bigint, plain double, sentence double, commas double, long_words double"
+MEASURES = "words array<string>, uses array<int>, tokens bigint, plain double, sentence double, commas double, long_words double"
 
 
 def measure_parts(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -45,36 +46,31 @@ def measure_parts(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     markup = re.compile(r"<[^<>]*>|`[^`]*`")
     opening = re.compile(r"(?m)^[ \t]*(?:(?:user|assistant|system|tool|human|model)[ \t]*:[ \t]*)?(?:[-*#>]+[ \t]+)*", re.I)
     odd = re.compile(r"\S*[\d/_\\{}<>=@|~^\[\]]\S*")
-    plain = re.compile(r"[\"'“”‘’(*]*[^\W\d_]+(?:['’-][^\W\d_]+)*[\"'“”‘’).,;:!?*…]*")
+    plain = re.compile(r"(?<!\S)[\"'“”‘’(*]*[^\W\d_]+(?:['’-][^\W\d_]+)*[\"'“”‘’).,;:!?*…]*(?!\S)")
     word = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+    letter = re.compile(r"[^\W\d_]")
     end = re.compile(r"(?<=[.!?…])\s+|[\r\n]+")
     for part in parts:
         rows = []
         for text in part:
             if not text:
-                rows.append((None, 0, None, None, None, None))
+                rows.append((None, None, 0, None, None, None, None))
                 continue
-            text = unicodedata.normalize("NFKC", text)
-            pieces = opening.sub("", text).split()
-            share = sum(plain.fullmatch(p) is not None for p in pieces) / len(pieces) if pieces else 0.0
+            if not text.isascii():
+                text = unicodedata.normalize("NFKC", text)
+            bare = opening.sub("", text)
+            pieces = len(bare.split())
+            share = len(plain.findall(bare)) / pieces if pieces else 0.0
             clean = odd.sub(" ", opening.sub("", markup.sub(" ", text)))
-            sentences = [found for s in end.split(clean) if (found := word.findall(s.lower()))]
-            counts = Counter(w for s in sentences for w in s)
+            counts = Counter(word.findall(clean.lower()))  # no word goes over the end of a sentence
             n = sum(counts.values())
             if not n:
-                rows.append((None, 0, share, None, None, None))
+                rows.append((None, None, 0, share, None, None, None))
                 continue
-            rows.append(
-                (
-                    [{"word": w, "n": c} for w, c in counts.items()],
-                    n,
-                    share,
-                    math.log(n / len(sentences)),
-                    math.log1p(clean.count(",") / len(sentences)),
-                    sum(c for w, c in counts.items() if len(w) >= 9) / n,
-                )
-            )
-        yield pd.DataFrame(rows, columns=["words", "tokens", "plain", "sentence", "commas", "long_words"])
+            sentences = sum(letter.search(s) is not None for s in end.split(clean))
+            long_words = sum(c for w, c in counts.items() if len(w) >= 9)
+            rows.append((list(counts), list(counts.values()), n, share, math.log(n / sentences), math.log1p(clean.count(",") / sentences), long_words / n))
+        yield pd.DataFrame(rows, columns=["words", "uses", "tokens", "plain", "sentence", "commas", "long_words"])
 
 
 def measures(documents: DataFrame) -> DataFrame:
@@ -87,12 +83,12 @@ def measures(documents: DataFrame) -> DataFrame:
 def vocabulary(measured: DataFrame) -> DataFrame:
     """word, n (count over the corpus), size (of the vocabulary down to its frequency), english (share of its labelled uses)."""
     counts = spool(
-        measured.select("labelled_english", F.explode("words").alias("w"))
-        .groupBy("w.word")
+        measured.select("labelled_english", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("uses").alias("n"))))
+        .groupBy("word")
         .agg(
-            F.sum("w.n").alias("n"),
-            F.sum(F.when(F.col("labelled_english"), F.col("w.n")).otherwise(0)).alias("en"),
-            F.sum(F.when(F.col("labelled_english").isNotNull(), F.col("w.n")).otherwise(0)).alias("told"),
+            F.sum("n").alias("n"),
+            F.sum(F.when(F.col("labelled_english"), F.col("n")).otherwise(0)).alias("en"),
+            F.sum(F.when(F.col("labelled_english").isNotNull(), F.col("n")).otherwise(0)).alias("told"),
         ),
         "vocabulary",
     )
@@ -102,52 +98,61 @@ def vocabulary(measured: DataFrame) -> DataFrame:
 
 
 def coverage(measured: DataFrame, words: DataFrame) -> DataFrame:
-    """doc_id, rank (vocabulary size that covers SHARE of the words), english (mean over its listed words)."""
+    """doc_id, rank (vocabulary size that covers SHARE of the words), english (mean over its words)."""
     listed = words.orderBy(F.desc("n"), "word").limit(LISTED).collect()
     table = measured.sparkSession.sparkContext.broadcast({r.word: (r.size, r.english) for r in listed})
 
-    @F.pandas_udf("rank bigint, english double")
-    def look_up(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known = table.value
-        for part in parts:
+    @F.pandas_udf("rank bigint, covered bigint, told bigint, english double, rest array<string>, rest_uses array<int>")
+    def look_up(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        known = table.value.get
+        for some, counts in parts:
             out = []
-            for entries in part:
+            for entries, uses in zip(some, counts):
                 if entries is None or not len(entries):
-                    out.append((None, None))
+                    out.append((None, 0, 0, 0.0, None, None))
                     continue
-                sizes, told, english, total = [], 0, 0.0, 0
-                for e in entries:
-                    n = e["n"]
-                    total += n
-                    if hit := known.get(e["word"]):
-                        sizes.append((hit[0], n))
-                        if hit[1] is not None:
-                            told += n
-                            english += n * hit[1]
-                need, rank = math.ceil(SHARE * total), None
-                for size, n in sorted(sizes):
-                    need -= n
-                    if need <= 0:
-                        rank = size
-                        break
-                out.append((rank, english / told if told else None))
-            frame = pd.DataFrame(out, columns=["rank", "english"])
+                sizes, told, english, covered, rest, rest_uses = [], 0, 0.0, 0, [], []
+                uses = uses.tolist()
+                for word, n in zip(entries, uses):
+                    hit = known(word)
+                    if hit is None:
+                        rest.append(word)
+                        rest_uses.append(n)
+                        continue
+                    covered += n
+                    sizes.append((hit[0], n))
+                    if hit[1] is not None:
+                        told += n
+                        english += n * hit[1]
+                need, rank = math.ceil(SHARE * sum(uses)), None
+                if covered >= need:
+                    for size, n in sorted(sizes):
+                        need -= n
+                        if need <= 0:
+                            rank = size
+                            break
+                out.append((rank, covered, told, english, rest or None, rest_uses or None))
+            frame = pd.DataFrame(out, columns=["rank", "covered", "told", "english", "rest", "rest_uses"])
             frame["rank"] = frame["rank"].astype("Int64")
             yield frame
 
-    first = spool(measured.select("doc_id", "words", "tokens", look_up("words").alias("c")).select("doc_id", "tokens", F.when(F.col("c.rank").isNull(), F.col("words")).alias("words"), "c.*"), "coverage")
-    # Exact ranks of the documents that the list does not cover.
-    rest = first.where("rank is null and words is not null").select("doc_id", "tokens", F.explode("words").alias("w"))
+    first = spool(measured.select("doc_id", "tokens", look_up("words", "uses").alias("c")).select("doc_id", "tokens", "c.*"), "coverage")
+    # Words that are not listed are rarer than those that are, so they come after them in a document's ranking.
+    rare = first.where("rest is not null").select("doc_id", "tokens", "rank", "covered", F.inline(F.arrays_zip(F.col("rest").alias("word"), F.col("rest_uses").alias("uses"))))
+    met = rare.join(words.select("word", "size", F.col("english").alias("e")), "word")
+    told = met.groupBy("doc_id").agg(F.sum(F.when(F.col("e").isNotNull(), F.col("uses"))).alias("more_told"), F.sum(F.col("e") * F.col("uses")).alias("more_english"))
     upto = Window.partitionBy("doc_id").orderBy("size", "word")
-    exact = (
-        rest.select("doc_id", "tokens", "w.word", F.col("w.n").alias("uses"))
-        .join(words.select("word", "size"), "word")
-        .withColumn("covered", F.sum("uses").over(upto))
-        .where(F.col("covered") >= F.ceil(F.lit(SHARE) * F.col("tokens")))
+    ranks = (
+        met.where("rank is null")
+        .withColumn("reached", F.col("covered") + F.sum("uses").over(upto))
+        .where(F.col("reached") >= F.ceil(F.lit(SHARE) * F.col("tokens")))
         .groupBy("doc_id")
         .agg(F.min("size").alias("exact"))
     )
-    return first.join(exact, "doc_id", "left").select("doc_id", F.coalesce("rank", "exact").alias("rank"), "english")
+    none, nothing = F.lit(0).cast("bigint"), F.lit(0.0)
+    all_told = F.col("told") + F.coalesce("more_told", none)
+    english = F.when(all_told > 0, (F.col("english") + F.coalesce("more_english", nothing)) / all_told)
+    return first.join(told, "doc_id", "left").join(ranks, "doc_id", "left").select("doc_id", F.coalesce("rank", "exact").alias("rank"), english.alias("english"))
 
 
 def design(df: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -171,40 +176,38 @@ def logit(names: list[str], weights: np.ndarray) -> Column:
 def calibrate(labelled: DataFrame) -> dict[int, np.ndarray] | None:
     """Weights of the step to each band from all label rows (``labelled``: x, array of double; band).
 
-    Every round is one aggregation: tasks add up the normal equations of their rows, SQL adds up the tasks' sums by
-    position, and the driver gets the totals, whose number depends on the measures alone.
+    Every round is one SQL aggregation: the weighted products and residuals of a row are one vector, vectors are added
+    up within tasks and then over them, and the driver gets the sum, whose length depends on the measures alone.
     """
-    weights: dict[int, np.ndarray] = {}
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+
+    some = labelled.select(F.size("x").alias("k")).first()
+    if some is None:
+        return None
+    k = some["k"]
+    weights = {b: np.zeros(k) for b in BANDS}
     for _ in range(ROUNDS):
-        now = dict(weights)
-
-        def sums(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in parts:
-                if not len(part):
-                    continue
-                x, y = np.array(part["x"].tolist(), float), part["band"].to_numpy()
-                out = [np.array([x.shape[1], len(x)], float)]
-                for b in BANDS:
-                    p = 1 / (1 + np.exp(-np.clip(x @ now.get(b, np.zeros(x.shape[1])), -30, 30)))
-                    weight = np.maximum(p * (1 - p), 1e-4)
-                    out += [(x.T * weight @ x).ravel(), x.T @ ((y >= b) - p)]
-                flat = np.concatenate(out)
-                yield pd.DataFrame({"at": np.arange(len(flat)), "value": flat, "k": x.shape[1]})
-
-        rows = labelled.mapInPandas(sums, "at int, value double, k int").groupBy("at").agg(F.sum("value").alias("value"), F.max("k").alias("k")).orderBy("at").collect()
-        if not rows:
-            return None
-        k, flat = rows[0]["k"], np.array([r["value"] for r in rows[2:]])
+        parts = []
+        for b in BANDS:
+            held = F.array(*[F.lit(float(w)) for w in weights[b]])
+            z = F.aggregate(F.zip_with("x", held, lambda x, w: x * w), F.lit(0.0), lambda t, v: t + v)
+            p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
+            one = F.struct(F.greatest(p * (1 - p), F.lit(1e-4)).alias("weight"), ((F.col("band") >= b).cast("double") - p).alias("miss"))
+            # A list of one, so that p is worked out once a row and not once an element.
+            products = F.transform(F.array(one), lambda s: F.concat(F.flatten(F.transform("x", lambda u: F.transform("x", lambda v: u * v * s["weight"]))), F.transform("x", lambda u: u * s["miss"])))
+            parts.append(F.flatten(products))
+        sums = labelled.select(Summarizer.sum(array_to_vector(F.concat(*parts))).alias("s")).first()["s"].toArray()
         moved, at = 0.0, 0
         for b in BANDS:
-            h, g = flat[at : at + k * k].reshape(k, k), flat[at + k * k : at + k * k + k]
+            h, g = sums[at : at + k * k].reshape(k, k), sums[at + k * k : at + k * k + k]
             at += k * k + k
-            old = weights.get(b, np.zeros(k))
-            step = np.linalg.solve(h + RIDGE * np.eye(k), g - RIDGE * old)
-            weights[b] = old + step
+            step = np.linalg.solve(h + RIDGE * np.eye(k), g - RIDGE * weights[b])
+            weights[b] = weights[b] + step
             moved = max(moved, float(np.abs(step).max()))
-        if moved < 1e-3:
-            break
+        if moved < SETTLED:
+            return weights
+    warnings.warn(f"the steps still moved by {moved:.2g} after {ROUNDS} rounds", stacklevel=2)
     return weights
 
 
@@ -215,7 +218,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """
     measured = spool(measures(documents), "measures")
     covered = coverage(measured, vocabulary(measured))
-    table, names = design(spool(measured.drop("words", "labelled_english").join(covered, "doc_id"), "levels"))
+    table, names = design(spool(measured.drop("words", "uses", "labelled_english").join(covered, "doc_id"), "levels"))
     known = labels.where("band between 1 and 5").select("doc_id", "band")
     labelled = spool(table.where("rank is not null").join(known, "doc_id").select("band", F.array(*names).alias("x")), "labelled")
     weights = calibrate(labelled)
