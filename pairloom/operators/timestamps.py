@@ -1,13 +1,16 @@
 """Timestamp texts of mixed makes, precisions and zones, normalised to one UTC instant.
 
-Every text is read under each grammar that fits. Most grammars give one reading; dates with slashes can have several
-(day first, month first). Which of them a source writes is estimated by expectation-maximisation over the source's
-own values: a value adds likelihood to every order under which it is a calendar date, the posteriors choose, and what
-stays undecided is marked, never guessed. A declared order in the source's row is a prior of weight one.
+Every text is read under each make that fits its form; some forms fit several (a date with slashes can put the day or
+the month first). Every source is a mixture of makes, estimated by expectation-maximisation over its own values: a value
+adds likelihood to each make under which it is valid, shared by the makes' weights, and the weights are the shares that
+come out. A declared order in the source's row is a prior: other orders start with odds of one to DECLARED_ODDS. The
+posteriors of a value choose its make; NOISE stands for "none of them", so a make that its source hardly writes wins
+nothing by being the only valid one against the prior. What stays below CERTAIN is marked, never guessed.
 
 Defined results: null, empty and unreadable texts are ``unreadable``; a wall time that its zone skipped is ``never``,
 one that it had twice ``twice`` (zone letters or an offset in the text decide); a wall time without a known zone is
-``no_zone``; a slash date whose order stays open is ``order_open``. Only ``ok`` rows carry ``utc_us``.
+``no_zone``; a slash date whose order stays open is ``order_open``. Only ``ok`` rows carry ``utc_us``. Length does not
+matter; runs of white space count as one blank.
 """
 
 from __future__ import annotations
@@ -15,15 +18,28 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The form that needs no normalising, and the pattern of dates with slashes.
 CANONICAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|\+00:00)$"
 SLASHED = r"^\s*(\d{1,4})/(\d{1,2})/(\d{1,4})\b"
 
-EM_ROUNDS = 20
-EM_CERTAIN = 0.99
+# The makes of a mixture and the forms that fit one make only.
+MAKES = ["iso", "basic", "mail", "seconds", "milliseconds", "microseconds", "ymd", "dmy", "mdy"]
+FORMS = {
+    "iso": r"^\s*\d{4}-\d{2}-\d{2}[Tt\s]",
+    "basic": r"^\s*\d{8}[Tt]\d{6}",
+    "mail": r"^\s*([A-Za-z]{3},\s*)?\d{1,2}\s+[A-Za-z]{3}\s+\d{4}\s",
+    "seconds": r"^\s*\d{10}(\.\d+)?\s*$",
+    "milliseconds": r"^\s*\d{13}\s*$",
+    "microseconds": r"^\s*\d{16}\s*$",
+    "ymd": r"^\s*\d{4}/\d{1,2}/\d{1,2}\b",
+}
+
+#: Rounds start near the weights of the values that fit one make only, which is where they end without a prior.
+EM_ROUNDS, TRACE = 50, 1e-4
+CERTAIN, NOISE, DECLARED_ODDS = 0.99, 0.005, 1_000_000.0
 
 
 def _reader():
@@ -70,8 +86,9 @@ def _reader():
         return None
 
     def read(text: str | None, own: str | None, order: str | None) -> tuple[str, str | None, int | None]:
-        if text is None or len(text) > 80:
+        if text is None:
             return "unreadable", None, None
+        text = " ".join(text.split())
         if n := number.match(text):
             if n[1]:
                 return "ok", "seconds", int(n[1]) * 1_000_000 + int(((n[2] or "") + "000000")[:6])
@@ -85,7 +102,7 @@ def _reader():
                 if len(a) == 4:
                     y, m, d = a, b, c
                 elif len(c) != 4 or order not in ("dmy", "mdy"):
-                    return "order_open", make, None
+                    return ("unreadable" if order == "none" else "order_open"), make, None
                 else:
                     y, m, d = (c, b, a) if order == "dmy" else (c, a, b)
             elif make == "mail":
@@ -137,51 +154,82 @@ def timestamp_texts(df: DataFrame, key: str, text: str, source: str) -> DataFram
     return df.where(F.col(text).isNotNull() & ~F.col(text).rlike(CANONICAL))
 
 
+def makes_of(text: Column) -> Column:
+    """Places in MAKES of the makes under which a text may be valid."""
+    a, b, c = (F.regexp_extract(text, SLASHED, i) for i in (1, 2, 3))
+    slashed = text.rlike(SLASHED) & (F.length(a) < 4) & (F.length(c) == 4)
+    day, month = lambda x: x.cast("int").between(1, 31), lambda x: x.cast("int").between(1, 12)
+    fits = {**{m: text.rlike(p) for m, p in FORMS.items()}, "dmy": slashed & day(a) & month(b), "mdy": slashed & month(a) & day(b)}
+    return F.array_compact(F.array(*[F.when(fits[m], F.lit(i)) for i, m in enumerate(MAKES)]))
+
+
+def make_weights(texts: DataFrame, sources: DataFrame) -> DataFrame:
+    """Expectation-maximisation of the makes of every source: source_id, scores (one a make: values times prior).
+
+    ``texts``: source_id, text. ``sources``: source_id, declared (dmy, mdy, ymd or null). The values enter as counts of
+    the sets of makes that fit them, at most a dozen a source, so the rounds run inside one row a source.
+    """
+    sets = texts.select("source_id", makes_of(F.col("text")).alias("fits")).where(F.size("fits") > 0).groupBy("source_id", "fits").agg(F.count("*").cast("double").alias("n"))
+    seen = sets.groupBy("source_id").agg(F.collect_list(F.struct("fits", "n")).alias("seen"))
+    table = sources.join(seen, "source_id", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<struct<fits:array<int>,n:double>>")))
+    orders = ("ymd", "dmy", "mdy")
+    prior = F.array(*[F.when(F.col("declared").isin(*orders) & (F.col("declared") != m), 1 / DECLARED_ODDS).otherwise(1.0) if m in orders else F.lit(1.0) for m in MAKES])
+    table = table.withColumn("prior", prior)
+    places = F.sequence(F.lit(0), F.lit(len(MAKES) - 1))
+
+    def begin(i: Column) -> Column:
+        """Values that fit ``i`` alone; sets of several makes add a trace, by the prior, so that no weight is stuck at 0."""
+        part = lambda p: TRACE * F.get("prior", i) / F.aggregate(p["fits"], F.lit(0.0), lambda t, k: t + F.get("prior", k))
+        return F.aggregate("seen", F.lit(0.0), lambda s, p: s + F.when(F.array_contains(p["fits"], i), F.when(F.size(p["fits"]) == 1, p["n"]).otherwise(part(p))).otherwise(0.0))
+
+    table = table.withColumn("_begin", F.transform(places, begin))
+
+    def share(weights: Column, i: Column) -> Column:
+        """Values that make ``i`` gets under ``weights``; a set without any weight is split by the prior."""
+
+        def of(s: Column, p: Column) -> Column:
+            among = lambda of_one: F.aggregate(p["fits"], F.lit(0.0), lambda t, k: t + of_one(k))
+            weigh = lambda k: F.get("prior", k) * F.get(weights, k)
+            whole = among(weigh)
+            part = F.when(whole > 0, weigh(i) / whole).otherwise(F.get("prior", i) / among(lambda k: F.get("prior", k)))
+            return s + F.when(F.array_contains(p["fits"], i), p["n"] * part).otherwise(0.0)
+
+        return F.aggregate("seen", F.lit(0.0), of)
+
+    weights = F.aggregate(F.sequence(F.lit(1), F.lit(EM_ROUNDS)), F.col("_begin"), lambda w, _: F.transform(places, lambda i: share(w, i)))
+    return table.withColumn("_w", weights).select("source_id", F.zip_with("_w", "prior", lambda w, p: w * p).alias("scores"))
+
+
+def best_make(fits: Column, scores: Column) -> Column:
+    """The make of a value and its posterior: struct of posterior and place in MAKES (null without a fitting make)."""
+    whole = F.aggregate(fits, F.lit(NOISE), lambda s, k: s + F.get(scores, k))
+    return F.array_max(F.transform(fits, lambda k: F.struct((F.get(scores, k) / whole).alias("posterior"), (-k).alias("place"))))
+
+
 def slash_orders(texts: DataFrame, sources: DataFrame) -> DataFrame:
-    """Expectation-maximisation of the slash order of every source.
+    """The order in which every source writes a slash date that leaves it open: source_id, order, posterior.
 
-    ``texts``: source_id, text. ``sources``: source_id, declared (dmy, mdy, ymd or null). Returns source_id, order,
-    posterior. The values enter as three counts a source (readable day first only, month first only, both), so the
-    rounds run on one row a source; ties and sources without slash dates keep a null order.
+    Ties, mixed sources and sources without slash dates keep a null order.
     """
-    a = F.regexp_extract("text", SLASHED, 1)
-    b = F.regexp_extract("text", SLASHED, 2).cast("int")
-    counts = (
-        texts.where(F.col("text").rlike(SLASHED) & (F.length(a) < 4))
-        .select("source_id", a.cast("int").alias("a"), b.alias("b"))
-        .groupBy("source_id")
-        .agg(
-            F.count_if((F.col("a") > 12) & (F.col("b") <= 12)).alias("day_first"),
-            F.count_if((F.col("b") > 12) & (F.col("a") <= 12)).alias("month_first"),
-            F.count_if((F.col("a") <= 12) & (F.col("b") <= 12)).alias("either"),
-        )
-    )
-    table = sources.join(counts, "source_id", "left").na.fill(0, ["day_first", "month_first", "either"])
-    # One weight a source suffices: w = share of day-first writing, 1 - w of month-first writing. A round is
-    # w = (day_first + either w) / total; it refers to w once, so that the rounds do not multiply in the plan.
-    total = F.col("day_first") + F.col("month_first") + F.col("either")
-    table = table.withColumns({"_sure": F.when(total > 0, F.col("day_first") / total).otherwise(0.5), "_open": F.when(total > 0, F.col("either") / total).otherwise(0.0)})
-    weight = F.lit(0.5)
-    for _ in range(EM_ROUNDS):
-        weight = F.col("_sure") + F.col("_open") * weight
-    table = table.withColumn("w", weight)
-    chosen = (
-        F.when(F.col("declared").isin("dmy", "mdy", "ymd"), F.col("declared"))
-        .when(F.col("w") >= EM_CERTAIN, "dmy")
-        .when(F.col("w") <= 1 - EM_CERTAIN, "mdy")
-    )
-    sure = F.when(F.col("declared").isNotNull(), 1.0).otherwise(F.greatest("w", 1 - F.col("w")))
-    return table.select("source_id", chosen.alias("order"), sure.alias("posterior"))
+    best = best_make(F.array(*[F.lit(MAKES.index(m)) for m in ("dmy", "mdy")]), F.col("scores"))
+    named = F.element_at(F.array(*[F.lit(m) for m in MAKES]), 1 - F.col("best.place"))
+    weights = make_weights(texts, sources).withColumn("best", best)
+    return weights.select("source_id", F.when(F.col("best.posterior") >= CERTAIN, named).alias("order"), F.col("best.posterior").alias("posterior"))
 
 
 def normalise(texts: DataFrame, sources: DataFrame) -> DataFrame:
-    """Add status, make and utc_us to ``texts`` (which has source_id and text, and any other columns).
+    """Add posterior, status, make and utc_us to ``texts`` (which has source_id and text, and any other columns).
 
     ``sources``: source_id, zone, declared; one row a source. A text whose source has no row has no zone and no
     order. The join side is one row a source, so Spark broadcasts it only when its measured size allows.
     """
-    orders = slash_orders(texts.select("source_id", "text"), sources.select("source_id", "declared"))
-    rows = texts.join(sources.select("source_id", F.col("zone").alias("_zone")).join(orders.select("source_id", F.col("order").alias("_order")), "source_id"), "source_id", "left")
+    weights = make_weights(texts.select("source_id", "text"), sources.select("source_id", "declared"))
+    rows = texts.join(sources.select("source_id", F.col("zone").alias("_zone")).join(weights.withColumnRenamed("scores", "_scores"), "source_id"), "source_id", "left")
+    fits = makes_of(F.col("text"))
+    rows = rows.withColumn("_fits", fits).withColumn("_best", best_make(F.col("_fits"), F.coalesce("_scores", F.array(*[F.lit(0.0)] * len(MAKES)))))
+    place = -F.col("_best.place")
+    order = F.when(F.size("_fits") == 0, "none").when(F.col("_best.posterior") >= CERTAIN, F.element_at(F.array(*[F.lit(m) for m in MAKES]), place + 1))
+    rows = rows.withColumn("posterior", F.col("_best.posterior")).withColumn("_order", order)
 
     @F.pandas_udf("status string, make string, utc_us bigint")
     def read_all(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -192,13 +240,14 @@ def normalise(texts: DataFrame, sources: DataFrame) -> DataFrame:
             yield pd.DataFrame({"status": status, "make": make, "utc_us": pd.array(micros, dtype="Int64")})
 
     # Marked as not deterministic, so that a later filter on the status does not run the reading twice.
-    return rows.withColumn("_read", read_all.asNondeterministic()("text", "_zone", "_order")).select("*", "_read.*").drop("_read", "_zone", "_order")
+    read = rows.withColumn("_read", read_all.asNondeterministic()("text", "_zone", "_order"))
+    return read.select("*", "_read.*").drop("_read", "_zone", "_order", "_scores", "_fits", "_best")
 
 
 def capture_timestamps(captures: DataFrame, traces: DataFrame, recorders: DataFrame) -> DataFrame:
     """All timestamp texts of the two tables that need normalising, with what they mean.
 
-    Returns table_name, row_id, sequence_index (-1 for created_at), source_id, text, status, make, utc_us. An event
+    Returns table_name, row_id, sequence_index (-1 for created_at), source_id, text, posterior, status, make, utc_us. An event
     without a sequence_index keeps null there. Missing events arrays give no rows.
     """
 

@@ -84,3 +84,20 @@ def test_both_tables_are_read(spark):
     recorders = spark.createDataFrame([(1, "UTC", "dmy")], "recorder_id int, tz_name string, date_order string")
     got = sorted((r.table_name, r.row_id, r.sequence_index, r.utc_us) for r in capture_timestamps(captures, traces, recorders).collect())
     assert got == [("multi_round_tools", 1, 0, 1784691814_000000), ("multi_round_tools", 3, -1, 1784691814_000000)] + [("source_traces", 7, 4, 1784691814_000000)] * 2
+
+
+def test_the_estimate_decides_without_a_declaration(spark):
+    either = "03/04/2025 1:00:00"
+    texts = [(1, "25/01/2025 1:00:00")] + [(1, either)] * 99  # one value settles the order of all
+    texts += [(2, "25/01/2025 1:00:00"), (2, "01/25/2025 1:00:00"), (2, either)]  # both orders in use: only what is certain
+    texts += [(3, "01/25/2025 1:00:00"), (3, either)]  # against the declaration
+    texts += [(4, either), (5, "45/45/2025 1:00:00"), (6, " " * 90 + "2024-01-01   10:00:00")]
+    df = spark.createDataFrame(texts, "source_id int, text string")
+    sources = spark.createDataFrame([(1, "UTC", None), (2, "UTC", None), (3, "UTC", "dmy"), (4, "UTC", None), (5, "UTC", "dmy"), (6, "UTC", None)], "source_id int, zone string, declared string")
+    got = normalise(df, sources).collect()
+    status = lambda i, t=None: {r.status for r in got if r.source_id == i and (t is None or r.text == t)}
+    assert status(1) == {"ok"} and {r.utc_us for r in got if r.source_id == 1 and r.text == either} == {us(2025, 4, 3, 1)}
+    assert status(2, either) == {"order_open"} and status(2, "25/01/2025 1:00:00") == status(2, "01/25/2025 1:00:00") == {"ok"}
+    assert status(3, either) == {"ok"} and status(3, "01/25/2025 1:00:00") == {"order_open"}
+    assert status(4) == {"order_open"} and status(5) == {"unreadable"} and status(6) == {"ok"}
+    assert all(r.posterior >= 0.99 for r in got if r.status == "ok") and [r.posterior for r in got if r.source_id == 4][0] < 0.6
