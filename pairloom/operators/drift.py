@@ -1,11 +1,13 @@
 """Schema drift: ingestion with a rescue column, replay of rescued values, and the report of changes.
 
 ``ingest`` holds every JSON record to a target schema. What fits becomes a typed column; a field the schema does not
-know, or a value it cannot cast, is kept as JSON in ``rescued``, so nothing is lost. ``replay`` turns approved rescued
-fields (new ones, or old ones under a new name) into typed columns later. ``changes`` compares consecutive files.
+know, a value it cannot cast, and a null are kept as JSON in ``rescued``, so nothing is lost. ``leaves`` takes the
+stored table apart again into its fields, and ``changes`` compares consecutive files on them. ``replay`` turns approved
+rescued fields (new ones, or old ones under a new name) into typed columns.
 
 Defined results: a line that is not one JSON object is ``parsed = false`` with all else null; a null value counts as
-present; a repeated key keeps its last value; an object is not a field, its leaves are; an empty object has none.
+present; a repeated key keeps its last value; an object is not a field, its leaves are; an empty object has none;
+NaN and infinities are no JSON.
 """
 
 from __future__ import annotations
@@ -43,9 +45,6 @@ SAME_CONTENT, SAME_CONTENT_NAMED, RELATED_NAME = 0.6, 0.2, 0.5
 #: Two names that share more than this part of the rarer one's files stand for different things.
 TOGETHER = 0.02
 
-FIELD = "struct<path:string,type:string,mark:string>"
-
-
 def column_of(path: str) -> str:
     """Flat column name of a path."""
     return path.replace(".", "__")
@@ -54,20 +53,19 @@ def column_of(path: str) -> str:
 def ingest(files: DataFrame, target: dict[str, str] = TARGET) -> DataFrame:
     """Hold ``files`` (stream, file_no, line_no, body) to ``target``.
 
-    Returns stream, file_no, line_no, parsed, one typed column a target path, ``rescued`` (JSON object by path, null
-    if empty) and ``fields`` (path, JSON type and content mark of every leaf).
+    Returns stream, file_no, line_no, parsed, one typed column a target path, and ``rescued`` (JSON object by path,
+    null if empty).
     """
     kinds = dict(target)
     typed = ",".join(f"`{column_of(p)}` {t}" for p, t in kinds.items())
-    schema = f"stream string, file_no bigint, line_no bigint, parsed boolean, {typed}, rescued string, fields array<{FIELD}>"
+    schema = f"stream string, file_no bigint, line_no bigint, parsed boolean, {typed}, rescued string"
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import json
         import math
-        import re
 
-        piece = re.compile(r"[A-Za-z0-9]+")
-        word = re.compile(r"[A-Za-z]+$")
+        def no_number(text: str) -> None:
+            raise ValueError(text)
 
         def leaves(value: dict, path: str, out: dict) -> None:
             for key, item in value.items():
@@ -77,26 +75,10 @@ def ingest(files: DataFrame, target: dict[str, str] = TARGET) -> DataFrame:
                 else:
                     out[here] = item
 
-        def shape(m: re.Match) -> str:
-            token = m[0]
-            return token if word.match(token) else "9" if token.isdigit() else f"<{len(token)}>"
-
-        def describe(value) -> tuple[str | None, str | None]:
-            if value is None:
-                return None, None
-            if isinstance(value, bool):
-                return "boolean", str(value)
-            if isinstance(value, (int, float)):
-                size = 0 if not value or not math.isfinite(value) else math.floor(math.log2(abs(value)) / 2)
-                return "number", f"{'-' if value < 0 else ''}{'.' if value != value // 1 else ''}{size}"
-            if isinstance(value, str):
-                return "string", piece.sub(shape, value)
-            return "array", f"[{describe(value[0])[1] if value and not isinstance(value[0], dict) else ''}]"
-
         def cast(value, kind: str) -> tuple[object, bool]:
             """The typed value and whether it fits; a number in digits fits a number, never the other way round a guess."""
             if value is None:
-                return None, True
+                return None, False
             if kind == "string":
                 return (value, True) if isinstance(value, str) else (None, False)
             if kind == "boolean":
@@ -110,10 +92,10 @@ def ingest(files: DataFrame, target: dict[str, str] = TARGET) -> DataFrame:
             return (int(value), True) if value == int(value) and abs(value) < 2**63 else (None, False)
 
         for part in parts:
-            columns: dict[str, list] = {c: [] for c in ("parsed", *kinds, "rescued", "fields")}
+            columns: dict[str, list] = {c: [] for c in ("parsed", *kinds, "rescued")}
             for body in part["body"]:
                 try:
-                    record = json.loads(body) if body is not None else None
+                    record = json.loads(body, parse_constant=no_number) if body is not None else None
                 except (ValueError, RecursionError):
                     record = None
                 good = isinstance(record, dict)
@@ -125,10 +107,9 @@ def ingest(files: DataFrame, target: dict[str, str] = TARGET) -> DataFrame:
                 for path, kind in kinds.items():
                     value, fits = cast(flat.get(path), kind)
                     columns[path].append(value)
-                    if not fits:
+                    if not fits and path in flat:
                         rest[path] = flat[path]
                 columns["rescued"].append(json.dumps(rest, ensure_ascii=False) if rest else None)
-                columns["fields"].append([{"path": p, "type": t, "mark": m} for p, v in flat.items() for t, m in [describe(v)]] if good else None)
             out = part[["stream", "file_no", "line_no"]].reset_index(drop=True)
             for name, values in columns.items():
                 kind = {"bigint": "Int64", "boolean": "boolean"}.get(kinds.get(name, ""), object)
@@ -213,13 +194,63 @@ def promote(rows: DataFrame, approved: dict[str, str], target: dict[str, str] =
     return now.withColumn("rescued", left("rescued", F.array_except("_now", "_was"))).drop("_was", "_now")
 
 
-def presence(rows: DataFrame) -> DataFrame:
+def leaves(rows: DataFrame, target: dict[str, str] = TARGET) -> DataFrame:
+    """The fields of an ingested table: stream, file_no, path, type (JSON type, null for null), value (text).
+
+    Typed columns give their path and value, ``rescued`` gives the rest, so this is every leaf of every record.
+    """
+    json_type = {"string": "string", "boolean": "boolean", "bigint": "number", "double": "number"}
+    typed = [
+        F.struct(F.lit(p).alias("path"), F.lit(json_type.get(t, "array")).alias("type"), (F.to_json(column_of(p)) if t.startswith("array") else F.col(column_of(p)).cast("string")).alias("value"))
+        for p, t in target.items()
+    ]
+    rest = F.coalesce(F.map_entries(F.try_parse_json("rescued").cast("map<string,variant>")), F.array().cast("array<struct<key:string,value:variant>>"))
+
+    def other(e: Column) -> Column:
+        kind = F.schema_of_variant(e["value"])
+        named = F.when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(kind.startswith("ARRAY"), "array").when(kind != "VOID", "number")
+        return F.struct(e["key"].alias("path"), named.alias("type"), F.when(kind == "STRING", e["value"].cast("string")).otherwise(F.to_json(e["value"])).alias("value"))
+
+    kept = F.filter(F.array(*typed), lambda x: x["value"].isNotNull())
+    return rows.where("parsed").select("stream", "file_no", F.inline(F.concat(kept, F.transform(rest, other))))
+
+
+def marks_of(kinds: pd.Series, values: pd.Series) -> pd.Series:
+    """Content marks of field values: what a value looks like, so that the same information has the same marks.
+
+    Words stay, numbers and codes become their kind and length, a number its magnitude; an array has the marks of all
+    its elements.
+    """
+    import json
+    import math
+    import re
+
+    piece, word = re.compile(r"[A-Za-z0-9]+"), re.compile(r"[A-Za-z]+$")
+
+    def shape(m: re.Match) -> str:
+        token = m[0]
+        return token if word.match(token) else "9" if token.isdigit() else f"<{len(token)}>"
+
+    def mark(value) -> list[str]:
+        if value is None:
+            return []
+        if isinstance(value, bool):
+            return [str(value)]
+        if isinstance(value, (int, float)):
+            size = 0 if not value or not math.isfinite(value) else math.floor(math.log2(abs(value)) / 2)
+            return [f"{'-' if value < 0 else ''}{'.' if value != value // 1 else ''}{size}"]
+        if isinstance(value, str):
+            return [piece.sub(shape, value)]
+        if isinstance(value, dict):
+            return [f"{{{','.join(sorted(value))}}}"]
+        return [f"[{m}" for x in value for m in mark(x)] or ["[]"]
+
+    return pd.Series([mark(v if k == "string" else json.loads(v)) if v is not None and k is not None else [] for k, v in zip(kinds, values)], dtype=object)
+
+
+def presence(fields: DataFrame) -> DataFrame:
     """One row a field and file: stream, file_no, path, types (sorted JSON types of its non-null values)."""
-    return (
-        rows.select("stream", "file_no", F.explode("fields").alias("f"))
-        .groupBy("stream", "file_no", F.col("f.path").alias("path"))
-        .agg(F.array_sort(F.collect_set("f.type")).alias("types"))
-    )
+    return fields.groupBy("stream", "file_no", "path").agg(F.array_sort(F.collect_set("type")).alias("types"))
 
 
 def boundaries(files: DataFrame) -> DataFrame:
@@ -236,7 +267,8 @@ def changes(files: DataFrame, rows: DataFrame) -> DataFrame:
     that goes and one that comes are one rename if both carry the same information: their contents agree over the
     whole corpus, and they do not stand side by side in other files, as different fields would.
     """
-    there = spool(presence(rows), "drift-presence")
+    fields = leaves(rows)
+    there = spool(presence(fields), "drift-presence")
     steps = spool(boundaries(files), "drift-steps")
     now = there.join(steps.select("stream", "file_no"), ["stream", "file_no"])
     old = there.withColumnRenamed("file_no", "before").withColumnRenamed("types", "types_before").join(steps, ["stream", "before"]).drop("before")
@@ -245,7 +277,7 @@ def changes(files: DataFrame, rows: DataFrame) -> DataFrame:
     come = diff.where("types_before is null").select("stream", "file_no", F.col("path").alias("new_field"))
     retyped = diff.where("types is not null and types_before is not null and types <> types_before")
 
-    renames = match_renames(gone.join(come, ["stream", "file_no"]), rows, there)
+    renames = match_renames(gone.join(come, ["stream", "file_no"]), fields, there)
     names = ["stream", "file_no", "change", "field", "new_field"]
     parts = [
         renames.select("stream", "file_no", F.lit("renamed").alias("change"), "field", "new_field"),
@@ -259,10 +291,11 @@ def changes(files: DataFrame, rows: DataFrame) -> DataFrame:
     return out.select(*names)
 
 
-def match_renames(candidates: DataFrame, rows: DataFrame, there: DataFrame) -> DataFrame:
+def match_renames(candidates: DataFrame, fields: DataFrame, there: DataFrame) -> DataFrame:
     """Which of the candidates (stream, file_no, field, new_field) are renames, one to one in each file.
 
-    Everything here but the two counts of co-occurrence and content is as small as the schemas, not as the records.
+    Only fields that are candidates somewhere are looked into, and only their marks are counted; everything else here
+    is as small as the schemas, not as the records.
     """
     pairs = spool(candidates.select("field", "new_field").distinct(), "drift-pairs")
     files_of = there.select("stream", "file_no", "path")
@@ -273,8 +306,10 @@ def match_renames(candidates: DataFrame, rows: DataFrame, there: DataFrame) -> D
         .groupBy("field", "new_field")
         .agg(F.count("*").alias("together"))
     )
-    marks = rows.select(F.explode("fields").alias("f")).where("f.mark is not null").groupBy(F.col("f.path").alias("path"), F.col("f.mark").alias("mark")).agg(F.count("*").alias("c"))
-    share = spool(marks.withColumn("share", F.col("c") / F.sum("c").over(Window.partitionBy("path"))).drop("c"), "drift-marks")
+    asked = pairs.select(F.explode(F.array("field", "new_field")).alias("path")).distinct()
+    marked = fields.where("type is not null").join(asked, "path").select("path", F.explode(F.pandas_udf(marks_of, "array<string>")("type", "value")).alias("mark"))
+    counts = spool(marked.groupBy("path", "mark").agg(F.count("*").alias("c")), "drift-marks")
+    share = counts.join(counts.groupBy("path").agg(F.sum("c").alias("all")), "path").select("path", "mark", (F.col("c") / F.col("all")).alias("share"))
     content = (
         pairs.join(share.select(F.col("path").alias("field"), "mark", F.col("share").alias("a")), "field")
         .join(share.select(F.col("path").alias("new_field"), "mark", F.col("share").alias("b")), ["new_field", "mark"])

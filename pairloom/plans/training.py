@@ -60,7 +60,7 @@ def p3_captures(spark: SparkSession, folder: str) -> DataFrame:
     files = table(spark, folder, "capture_files")
     rows = spool(ingest(files), "capture_files")
     approved = approve(spool(changes(files, rows), "drift-changes"))
-    return promote(rows.drop("fields"), approved)
+    return promote(rows, approved)
 
 
 @REGISTRY.add("p7_found", P7_SQL)

@@ -6,7 +6,7 @@ import json
 
 from conftest import rows
 
-from pairloom.operators.drift import boundaries, changes, ingest, replay
+from pairloom.operators.drift import boundaries, changes, ingest, leaves, marks_of, replay
 from pairloom.scratch import spool
 
 SCHEMA = "file_name string, stream string, file_no int, line_no int, body string"
@@ -60,7 +60,9 @@ def test_very_long_and_deep_values(spark):
     for _ in range(50):
         deep = {"k": deep}
     row = ingest(files(spark, {"s": {1: [{"suite": "y" * 1_000_000, **deep}]}})).first()
-    assert row.parsed and len(row.suite) == 1_000_000 and [f.path for f in row.fields] == ["suite", ".".join(["k"] * 50 + ["x"])]
+    assert row.parsed and len(row.suite) == 1_000_000
+    df = ingest(files(spark, {"s": {1: [{"suite": "y" * 1_000_000, **deep}]}}))
+    assert {(r.path, r.type) for r in leaves(df).select("path", "type").collect()} == {("suite", "string"), (".".join(["k"] * 50 + ["x"]), "number")}
 
 
 def test_captures_are_one_table_with_renamed_and_retyped_fields_filled(spark, tmp_path):
@@ -74,3 +76,19 @@ def test_captures_are_one_table_with_renamed_and_retyped_fields_filled(spark, tm
     got = REGISTRY.queries["p3_captures"](spark, str(tmp_path)).where("file_no = 2").orderBy("line_no").collect()
     assert [(r.capture_id, r.turn_index, r.latency_ms, r.tags, json.loads(r.rescued)) for r in got[:8]] == [(x, i, 900 + i, ["a", "b"], {"odd": i}) for i, x in enumerate(ids)]
     assert (got[8].capture_id, got[8].turn_index, json.loads(got[8].rescued)) == ("cap_100ab", None, {"turn_index": "late"})
+
+
+def test_every_field_comes_back_from_typed_and_rescued_values(spark):
+    record = {"suite": "7", "turn_index": 3, "cost_usd": 0.5, "cached": False, "tags": ["x", None], "latency_ms": "9 ms", "model_id": None, "free": {"n": 1e400 if False else 1.5, "big": 10**25, "list": [{"a": 1}], "none": None, "yes": True, "text": "true"}}
+    got = {(r.path, r.type) for r in leaves(ingest(files(spark, {"s": {1: [record, "NaN", '{"x": NaN}']}}))).select("path", "type").collect()}
+    assert got == {
+        ("suite", "string"), ("turn_index", "number"), ("cost_usd", "number"), ("cached", "boolean"), ("tags", "array"), ("latency_ms", "string"), ("model_id", None), ("free.n", "number"),
+        ("free.big", "number"), ("free.list", "array"), ("free.none", None), ("free.yes", "boolean"), ("free.text", "string"),
+    }
+
+
+def test_marks_look_at_every_element():
+    import pandas as pd
+
+    a, b, c = marks_of(pd.Series(["array"] * 3), pd.Series(['["k", "x"]', '["k", "y"]', "[]"]))
+    assert a != b and a[0] == b[0] and c == ["[]"]
