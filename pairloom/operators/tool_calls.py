@@ -2,7 +2,8 @@
 
 Built on the adjacency table of :mod:`pairloom.operators.shred`. Defined results: a call before any model call has no
 model (-1) and so no offered tool; null names, call ids and lists match nothing; a message row that came twice counts
-once; missing links are -1. Events without a sequence_index cannot be ordered and link to nothing.
+once; missing links are -1. A model call at the call's own sequence_index is not before it. Events without a
+sequence_index cannot be ordered and link to no model call.
 """
 
 from __future__ import annotations
@@ -37,13 +38,13 @@ def message_calls(messages: DataFrame) -> DataFrame:
 def linked_calls(captures: DataFrame, messages: DataFrame) -> DataFrame:
     """One row a tool_call event: row_id, call_seq, model_seq, tool_pos, result_seq, message_id."""
     events = event_entities(captures)
-    before = Window.partitionBy("row_id").orderBy("sequence_index").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("row_id").orderBy("sequence_index").rangeBetween(Window.unboundedPreceding, -1)
     same_id = Window.partitionBy("row_id", "call_id")
     is_model = (F.col("type") == "model_call") & F.col("sequence_index").isNotNull()
     model = F.last(F.when(is_model, F.struct("sequence_index", "tools_offered")), ignorenulls=True).over(before)
     calls = (
         events.where(F.col("type").isin("model_call", "tool_call", "tool_result"))
-        .withColumn("model", model)
+        .withColumn("model", F.when(F.col("sequence_index").isNotNull(), model))
         .withColumn("result_seq", F.min(F.when(F.col("type") == "tool_result", F.col("sequence_index"))).over(same_id))
         .where("type = 'tool_call'")
         .withColumn("result_seq", F.when(F.col("call_id").isNotNull(), F.col("result_seq")))
