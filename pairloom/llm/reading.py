@@ -37,6 +37,33 @@ BANDS = (2, 3, 4, 5)
 MEASURES = "words array<string>, uses array<int>, tokens bigint, plain double, sentence double, commas double, long_words double"
 
 
+class Pieces(dict):
+    """What a run of characters without white space is worth: plain, words, ends a sentence, commas; met ones are kept.
+
+    A piece with digits or signs of markup, paths or code has no words and ends nothing.
+    """
+
+    KEPT, LONGEST = 300_000, 40
+
+    def __init__(self) -> None:
+        import re
+
+        self.odd = re.compile(r"[\d/_\\{}<>=@|~^\[\]]").search
+        self.plain = re.compile(r"[\"'“”‘’(*]*[^\W\d_]+(?:['’-][^\W\d_]+)*[\"'“”‘’).,;:!?*…]*").fullmatch
+        self.words = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*").findall
+
+    def __missing__(self, piece: str) -> tuple[bool, list[str], bool, int]:
+        if self.odd(piece):
+            worth = (False, [], False, 0)
+        else:
+            worth = (self.plain(piece) is not None, self.words(piece.lower()), piece[-1] in ".!?…", piece.count(","))
+        if len(piece) <= self.LONGEST:
+            if len(self) >= self.KEPT:
+                self.clear()
+            self[piece] = worth
+        return worth
+
+
 def measure_parts(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Words with counts, share of plain words, and sentence measures of each text."""
     import re
@@ -45,11 +72,8 @@ def measure_parts(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
     markup = re.compile(r"<[^<>]*>|`[^`]*`")
     opening = re.compile(r"(?m)^[ \t]*(?:(?:user|assistant|system|tool|human|model)[ \t]*:[ \t]*)?(?:[-*#>]+[ \t]+)*", re.I)
-    odd = re.compile(r"\S*[\d/_\\{}<>=@|~^\[\]]\S*")
-    plain = re.compile(r"(?<!\S)[\"'“”‘’(*]*[^\W\d_]+(?:['’-][^\W\d_]+)*[\"'“”‘’).,;:!?*…]*(?!\S)")
-    word = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-    letter = re.compile(r"[^\W\d_]")
-    end = re.compile(r"(?<=[.!?…])\s+|[\r\n]+")
+    lines = re.compile(r"[\r\n]+").split
+    known = Pieces()
     for part in parts:
         rows = []
         for text in part:
@@ -59,17 +83,29 @@ def measure_parts(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             if not text.isascii():
                 text = unicodedata.normalize("NFKC", text)
             bare = opening.sub("", text)
-            pieces = len(bare.split())
-            share = len(plain.findall(bare)) / pieces if pieces else 0.0
-            clean = odd.sub(" ", opening.sub("", markup.sub(" ", text)))
-            counts = Counter(word.findall(clean.lower()))  # no word goes over the end of a sentence
-            n = sum(counts.values())
+            pieces = bare.split()
+            share = sum([known[p][0] for p in pieces]) / len(pieces) if pieces else 0.0
+            clean = opening.sub("", markup.sub(" ", text)) if "<" in text or "`" in text else bare
+            said, sentences, commas = [], 0, 0
+            for line in lines(clean):
+                spoken = False
+                for p in line.split():
+                    _, words, ends, inside = known[p]
+                    if words:
+                        spoken = True
+                        said += words
+                    commas += inside
+                    if ends and spoken:
+                        sentences += 1
+                        spoken = False
+                sentences += spoken
+            n = len(said)
             if not n:
                 rows.append((None, None, 0, share, None, None, None))
                 continue
-            sentences = sum(letter.search(s) is not None for s in end.split(clean))
-            long_words = sum(c for w, c in counts.items() if len(w) >= 9)
-            rows.append((list(counts), list(counts.values()), n, share, math.log(n / sentences), math.log1p(clean.count(",") / sentences), long_words / n))
+            counts = Counter(said)
+            long_words = sum([c for w, c in counts.items() if len(w) >= 9])
+            rows.append((list(counts), list(counts.values()), n, share, math.log(n / sentences), math.log1p(commas / sentences), long_words / n))
         yield pd.DataFrame(rows, columns=["words", "uses", "tokens", "plain", "sentence", "commas", "long_words"])
 
 
