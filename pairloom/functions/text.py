@@ -27,9 +27,9 @@ def missing_variables(template: Column, inputs: Column) -> Column:
 
 
 def signed(value: Column, digits: int = 2) -> Column:
-    """A number with its sign; the minus is U+2212."""
+    """A number with its sign; zero and what is not below it has a plus, the minus is U+2212."""
     body = F.format_string(f"%.{digits}f", F.abs(value))
-    return F.when(F.round(value, digits) > 0, F.concat(F.lit("+"), body)).when(F.round(value, digits) < 0, F.concat(F.lit("−"), body)).otherwise(body)
+    return F.when(value.isNotNull(), F.concat(F.when(value < 0, "−").otherwise("+"), body))
 
 
 def per_cent(value: Column, digits: int = 1) -> Column:

@@ -99,14 +99,14 @@ def turn_order(captures: DataFrame) -> DataFrame:
     return captures.withColumn("place", F.row_number().over(w) - 1).withColumn("turn", F.coalesce("turn_index", "place"))
 
 
-def history(turns: DataFrame, depth: int) -> DataFrame:
-    """Texts of up to ``depth`` turns before each turn: conversation_id, place, history (array of user, assistant).
+def replies_before(turns: DataFrame) -> DataFrame:
+    """Replies of all turns before each turn: conversation_id, place, turns (those with a reply), chars.
 
-    ``turns``: conversation_id, place, user, assistant, blocked. Blocked turns do not count. The depth bounds the frame,
-    so a long conversation does not carry all of itself in every row.
+    ``turns``: conversation_id, place, reply. Running sums, so a long conversation costs nothing more.
     """
-    w = Window.partitionBy("conversation_id").orderBy("place").rowsBetween(-depth, -1)
-    return turns.select("conversation_id", "place", F.collect_list(F.when(~F.col("blocked"), F.struct("user", "assistant"))).over(w).alias("history"))
+    w = Window.partitionBy("conversation_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    chars = F.coalesce(F.sum(F.char_length("reply")).over(w), F.lit(0))
+    return turns.select("conversation_id", "place", F.count("reply").over(w).alias("turns"), chars.cast("bigint").alias("chars"))
 
 
 def full_history(captures: DataFrame) -> DataFrame:
@@ -158,29 +158,118 @@ def content_duplicates(rows: DataFrame, key: list[str], owner: str, within: list
     return keyed.join(first.drop("n"), [*within, "content"]).where(F.col(owner) != F.col("first_owner")).select(owner, "first_owner")
 
 
-def context_loss(captures: DataFrame) -> DataFrame:
-    """Model calls that were billed far more input than their recorded text explains: row_id, q, estimate, input_tokens."""
-    z = F.arrays_zip(*[F.col(f"trace.events.{f}").alias(f) for f in ("type", "sequence_index", "input", "input_tokens")])
-    e = captures.select("row_id", F.explode(z).alias("e")).select("row_id", F.col("e.sequence_index").alias("q"), "e.type", "e.input", "e.input_tokens")
-    estimate = F.greatest(F.lit(1), F.floor(F.char_length(F.coalesce("input", F.lit(""))) / 4))
-    return e.where("type = 'model_call'").withColumn("estimate", estimate).where((F.col("input_tokens") >= 4 * F.col("estimate")) & (F.col("input_tokens") - F.col("estimate") > 300)).select("row_id", "q", "estimate", "input_tokens")
+def retained(rows: DataFrame, group: str, newest: Column, most: int, held: Column) -> DataFrame:
+    """Add ``kept``: whether a row is among the ``most`` first of its group by ``newest``, or held for another reason."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(newest))
+    return rows.withColumn("kept", (place <= most) | held)
 
 
-def cap_stream(ev: DataFrame, size: Column, budget: int) -> DataFrame:
-    """Leading events of every capture until their sizes pass the budget; the first that does ends the stream."""
-    w = Window.partitionBy("row_id").orderBy("q").rowsBetween(Window.unboundedPreceding, 0)
-    return ev.withColumn("upto", F.sum(size + 1).over(w)).where(F.col("upto") <= budget)
+def ascii_length(text: Column) -> Column:
+    """Characters of a JSON text once everything beyond ASCII is escaped."""
+    return F.char_length(F.regexp_replace(F.regexp_replace(text, r"[\x{10000}-\x{10FFFF}]", "x" * 12), r"[^\x00-\x7F]", "x" * 6))
+
+
+def context_loss(captures: DataFrame, variable: str = "query", ratio: float = 4, gap: int = 300) -> DataFrame:
+    """Captures whose first model call was billed far more input than was recovered of it: row_id, estimate, input_tokens.
+
+    Recovered are the inputs (an object with the last user message under ``variable``) and the messages before it; an
+    input that is no list of messages is the input itself. Four characters count as a token.
+    """
+    z = F.arrays_zip(*[F.col(f"trace.events.{f}").alias(f) for f in ("sequence_index", "type", "input", "input_tokens")])
+    ordered = F.array_sort(F.transform(F.filter(z, lambda x: x["type"] == "model_call"), lambda x: F.struct(x["sequence_index"].alias("q"), x["input"].alias("input"), x["input_tokens"].alias("t"))))
+    first = captures.select("row_id", F.try_element_at(ordered, F.lit(1)).alias("e")).where("e.t > 0").select("row_id", F.col("e.input").alias("input"), F.col("e.t").alias("input_tokens"))
+    m = F.when(F.col("input").rlike(r"^\s*\["), F.from_json("input", "array<struct<role string, content string>>"))
+    upto = F.size("m") - F.array_position(F.transform(F.reverse("m"), lambda x: F.coalesce(x["role"], F.lit(""))), "user")
+    known = F.exists("m", lambda x: x["role"] == "user")
+    parsed = first.withColumn("m", m).withColumn("known", F.coalesce(known, F.lit(False))).withColumn("upto", F.when(F.col("known"), upto.cast("int")))
+    text = F.when(F.col("known"), F.get("m", F.col("upto"))["content"]).when(F.col("m").isNull(), F.col("input"))
+    inputs = F.when(text.isNull(), 2).otherwise(ascii_length(F.to_json(F.struct(text.alias(variable)))) + 1)
+    before = F.when(F.col("known"), F.aggregate(F.slice("m", F.lit(1), F.col("upto")), F.lit(0), lambda s, x: s + F.coalesce(F.char_length(x["content"]), F.lit(0)))).otherwise(0)
+    estimate = F.greatest(F.lit(1), F.expr("(chars div 4)"))
+    sized = parsed.withColumn("chars", inputs + before).select("row_id", estimate.cast("bigint").alias("estimate"), F.col("input_tokens").cast("bigint").alias("input_tokens"))
+    return sized.where((F.col("input_tokens") >= ratio * F.col("estimate")) & (F.col("input_tokens") - F.col("estimate") > gap))
+
+
+# Characters of escaped JSON that a result and a stream may have, and the fields of an event that are sent.
+MOST_RESULT, MOST_STREAM = 16_384, 262_144
+SENT = {
+    "model_call": ["model_id", "input_tokens", "output_tokens", "cost_usd", "latency_ms"],
+    "tool_call": ["name", "arguments", "call_id", "parent_call_id"],
+    "tool_result": ["name", "call_id", "result", "error"],
+    "final_output": ["text"],
+    "error": ["message", "category"],
+    "retrieval": ["source", "query", "documents"],
+    "guardrail": ["name", "verdict", "reason"],
+}
+
+
+def cap_streams(captures: DataFrame, most_result: int = MOST_RESULT, most_stream: int = MOST_STREAM) -> DataFrame:
+    """The events of a capture as they are sent: row_id, kept, dropped, truncated (any result or the stream), size.
+
+    An oversized result becomes a marker with its size and beginning; once a stream is over its budget, it ends before
+    the first event that would pass it. Sizes are those of JSON with escapes and blanks after separators. All inside
+    the row, so no event is exchanged.
+    """
+    names = sorted({n for fields in SENT.values() for n in fields})
+    z = F.arrays_zip(*[F.col(f"trace.events.{n}").alias(n) for n in ("sequence_index", "type", "timestamp", *names)])
+    ordered = F.array_sort(z, lambda a, b: F.when(a["sequence_index"].eqNullSafe(b["sequence_index"]), 0).when(a["sequence_index"].isNull() | (a["sequence_index"] > b["sequence_index"]), 1).otherwise(-1))
+    full = {"ignoreNullFields": "false"}
+    # A string's JSON is that of a list of it, less the brackets.
+    text_size = lambda c: F.when(c.isNull(), 4).otherwise(ascii_length(F.to_json(F.array(c))) - 2)
+
+    def sized(e: Column, i: Column) -> Column:
+        """Size of an event and whether its result is cut."""
+        models = F.col("_models")
+        number = F.greatest(F.size(F.filter(models, lambda k: k <= i)) - 1, F.lit(0))
+        head = lambda kind: F.char_length(F.format_string('{"type": "' + kind + '", "sequence_index": %d, "round": %d, "timestamp": ', i, number)) + text_size(e["timestamp"]) + 1
+        out, cut = F.lit(None).cast("int"), F.lit(False)
+        for kind, fields in SENT.items():
+            size = head(kind)
+            for n in fields:
+                value = e[n]
+                if n == "documents":
+                    one = F.when(value.isNull(), 4).otherwise(ascii_length(F.to_json(value)) + F.greatest(F.size(value) - 1, F.lit(0)))
+                elif n in ("input_tokens", "output_tokens", "latency_ms", "cost_usd"):
+                    one = F.coalesce(F.char_length(value.cast("string")), F.lit(4))
+                elif n == "result":
+                    whole = text_size(value)
+                    start = F.substring(F.regexp_replace(F.regexp_replace(F.to_json(F.array(value)), r"[\x{10000}-\x{10FFFF}]", "x" * 12), r"[^\x00-\x7F]", "x" * 6), 2, most_result)
+                    marker = F.char_length(F.format_string('{"_truncated": true, "_original_bytes": %d, "preview": ""}', whole)) + ascii_length(F.to_json(F.array(start))) - 4
+                    one = F.when(whole > most_result, marker).otherwise(whole) + F.when(whole > most_result, len(', "truncated": true')).otherwise(len(', "truncated": false'))
+                    cut = F.when(e["type"] == "tool_result", whole > most_result).otherwise(cut)
+                else:
+                    one = text_size(value)
+                size = size + one + len(f', "{n}": ')
+            out = F.when(e["type"] == kind, size).otherwise(out)
+        other = F.char_length(F.format_string('{"type": "%s", "sequence_index": %d, "round": %d, "timestamp": ', e["type"], i, number)) + text_size(e["timestamp"]) + 1
+        return F.struct(F.coalesce(out, other).cast("bigint").alias("n"), cut.alias("cut"))
+
+    rows = captures.select("row_id", ordered.alias("_e")).where("size(_e) > 0")
+    rows = rows.withColumn("_models", F.filter(F.transform("_e", lambda e, i: F.when(e["type"] == "model_call", i)), lambda k: k.isNotNull()))
+    rows = rows.select("row_id", F.transform("_e", sized).alias("s"))
+    whole = F.aggregate("s", F.lit(0).cast("bigint"), lambda t, x: t + x["n"]) + 2 * F.size("s")
+    start = F.struct(F.lit(2).cast("bigint").alias("size"), F.lit(0).alias("kept"), F.lit(False).alias("over"))
+
+    def step(t: Column, x: Column) -> Column:
+        over = t["over"] | (t["size"] + x["n"] + 1 > most_stream)
+        return F.struct(F.when(over, t["size"]).otherwise(t["size"] + x["n"] + 1).alias("size"), F.when(over, t["kept"]).otherwise(t["kept"] + 1).alias("kept"), over.alias("over"))
+
+    all_kept = F.struct(whole.alias("size"), F.size("s").alias("kept"), F.lit(False).alias("over"))
+    rows = rows.withColumn("r", F.when(whole <= most_stream, all_kept).otherwise(F.aggregate("s", start, step)))
+    return rows.select("row_id", F.col("r.kept").cast("bigint").alias("kept"), (F.size("s") - F.col("r.kept")).cast("bigint").alias("dropped"), (F.exists("s", lambda x: x["cut"]) | F.col("r.over")).alias("truncated"), F.col("r.size").alias("size"))
 
 
 def recovered_texts(captures: DataFrame) -> DataFrame:
     """First recorded input and final text of a capture: row_id, first_input, final_text.
 
-    The final text is the last final_output, else the last non-empty output of a model call.
+    The final text is that of the last final_output event, null included; without one, the last output of a model call
+    that is not blank, less the white space around it.
     """
     z = F.arrays_zip(*[F.col(f"trace.events.{f}").alias(f) for f in ("sequence_index", "type", "input", "output", "text")])
     ordered = F.array_sort(F.transform(z, lambda x: F.struct(x["sequence_index"].alias("q"), x["type"].alias("type"), x["input"].alias("input"), x["output"].alias("output"), x["text"].alias("text"))))
     models = F.filter("o", lambda x: x["type"] == "model_call")
-    finals = F.filter("o", lambda x: (x["type"] == "final_output") & x["text"].isNotNull())
-    spoken = F.filter(models, lambda x: F.coalesce(F.trim(x["output"]), F.lit("")) != "")
-    last = F.coalesce(F.try_element_at(finals, F.lit(-1))["text"], F.try_element_at(spoken, F.lit(-1))["output"])
+    finals = F.filter("o", lambda x: x["type"] == "final_output")
+    spoken = F.filter(models, lambda x: F.coalesce(x["output"], F.lit("")).rlike(r"(?U)\S"))
+    said = F.regexp_replace(F.try_element_at(spoken, F.lit(-1))["output"], r"(?U)^\s+|\s+$", "")
+    last = F.when(F.size(finals) > 0, F.try_element_at(finals, F.lit(-1))["text"]).otherwise(said)
     return captures.select("row_id", ordered.alias("o")).select("row_id", F.try_element_at(models, F.lit(1))["input"].alias("first_input"), last.alias("final_text"))

@@ -9,7 +9,8 @@ CALL_KEY = ["run_id", "prompt_id", "example_id", "sample_index"]
 
 
 def latest(df: DataFrame, key: list[str], order: list[str], first: bool = False) -> DataFrame:
-    """One row a key: the last (or first) by ``order``; a hash aggregation, so no key is sorted. Null keys are a key."""
+    """One row a key: the last (or first) by ``order``; rows meet within tasks before they are exchanged, and only rows
+    of one key are compared, never sorted by ``order``. Null keys are a key."""
     rest = [c for c in df.columns if c not in key]
     pick = F.min_by if first else F.max_by
     rank = F.struct(*[F.col(c).isNotNull() for c in order], *[F.col(c) for c in order], F.xxhash64(*[F.col(c) for c in rest]))
@@ -75,16 +76,24 @@ def duplicates(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
 
 
+# Response shapes and what in a model id tells them, in order. Slashed prefixes are matched as written,
+# the rest in lower case.
+PROVIDERS = [("anthropic", ["anthropic/"], [], ["claude"]), ("openai", ["openai/"], ["gpt-", "o1-", "o3-"], []), ("gemini", ["gemini/"], [], ["gemini"]), ("openai", [], [], ["deepseek"])]
+
+
 def detect_provider(model: Column) -> Column:
-    """Provider family of a model id, first match wins; null if none. Slashed prefixes are matched as written."""
+    """Response shape of a model id, the first rule that matches; null if none does (see :func:`provider_error`)."""
     low = F.lower(model)
-    rules = [
-        (model.startswith("anthropic/") | low.startswith("claude"), "anthropic"),
-        (model.startswith("openai/") | low.startswith("gpt") | low.startswith("o1") | low.startswith("o3"), "openai"),
-        (model.startswith("gemini/") | low.contains("gemini"), "gemini"),
-        (low.contains("deepseek"), "openai"),
-    ]
-    out = F.when(rules[0][0], rules[0][1])
-    for test, name in rules[1:]:
-        out = out.when(test, name)
+    out = F.lit(None).cast("string")
+    for name, written, starts, parts in reversed(PROVIDERS):
+        tests = [*(model.startswith(x) for x in written), *(low.startswith(x) for x in starts), *(low.contains(x) for x in parts)]
+        hit = tests[0]
+        for test in tests[1:]:
+            hit = hit | test
+        out = F.when(hit, name).otherwise(out)
     return out
+
+
+def provider_error(model: Column) -> Column:
+    """The error of a model id that no rule knows; null for known ones. A null id is unknown too."""
+    return F.when(detect_provider(model).isNull(), F.concat(F.lit("cannot detect provider for model id: "), F.coalesce(model, F.lit("null"))))

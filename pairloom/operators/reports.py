@@ -6,6 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def null_safe_left(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join by ``keys`` in which nulls meet."""
+    other = b.withColumnsRenamed({k: f"_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return a.join(other, on, "left").drop(*[f"_{k}" for k in keys])
+
+
 def role_economics(calls: DataFrame, by: list[str] = ()) -> DataFrame:
     """Per role: calls, failures, replays, cost and tokens, mean and p95 of live error-free latency.
 
@@ -24,7 +33,7 @@ def role_economics(calls: DataFrame, by: list[str] = ()) -> DataFrame:
     placed = steps.withColumn("upto", F.sum("c").over(order)).withColumn("n", F.sum("c").over(Window.partitionBy(*keys)))
     rank = F.greatest(F.lit(1), F.bround(F.col("n") * F.lit(95) / F.lit(100)))
     p95 = placed.where(F.col("upto") >= rank).groupBy(*keys).agg(F.min("latency_ms").alias("latency_p95"))
-    return totals.join(p95, keys, "left")
+    return null_safe_left(totals, p95, keys)
 
 
 def nearest_rank(calls: DataFrame, value: Column, by: list[str], per_cent: dict[str, int]) -> DataFrame:
@@ -36,6 +45,15 @@ def nearest_rank(calls: DataFrame, value: Column, by: list[str], per_cent: dict[
     return placed.groupBy(*by).agg(F.max("n").alias("n"), *[x.alias(name) for name, x in at.items()])
 
 
+def medians(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """Median of every group (mean of the two middle values) from distinct values with their counts: by, median."""
+    steps = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
+    order, whole = Window.partitionBy(*by).orderBy(value), Window.partitionBy(*by)
+    placed = steps.withColumn("upto", F.sum("c").over(order)).withColumn("n", F.sum("c").over(whole))
+    at = lambda rank: F.min(F.when(F.col("upto") >= F.expr(rank), F.col(value)))
+    return placed.groupBy(*by).agg(((at("(n + 1) div 2") + at("(n + 2) div 2")) / 2).alias("median"))
+
+
 def relative_increase(calls: DataFrame, value: Column, by: list[str]) -> DataFrame:
     """Mean of the target over that of the source, less 1 and floored at 0, over error-free calls; ``measured`` is false
     when a side has no value or both means are 0. A source mean of 0 gives 1 if the target has any, else 0."""

@@ -13,14 +13,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairloom.operators.ranking import in_ranges
+
 GROUP = ["slice_name", "prompt_id", "evaluator_name", "kind"]
 # Gates of the tests, and the normal quantile of a 95 % interval.
 FEWEST, FEW, FLAT, Z95 = 5, 20, 1e-9, 1.96
 RESAMPLES = 2000
 #: More deltas than this count as normal, as in the surveyed engine: the paired t test, which needs moments only.
 NORMAL_BEYOND = 5000
-#: No longer switches anything (larger groups had a rank test of aggregated ranks); an existing test still sets it.
-GATHER = 5000
 
 
 def moments(rows: DataFrame, group: list[str] = GROUP) -> DataFrame:
@@ -41,13 +41,18 @@ def moments(rows: DataFrame, group: list[str] = GROUP) -> DataFrame:
 def benjamini_hochberg(tests: DataFrame, p: str, order: list[str]) -> DataFrame:
     """Add ``q``: p times the number of tests over its rank, made monotone from the right and at most 1.
 
-    The unpartitioned windows run over distinct p-values with their counts, not over tests: equal p-values have equal q.
+    Distinct p-values with their counts are sorted in ranges; the windows over everything see one row a range.
     """
-    steps = tests.where(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("_n"))
-    up = Window.orderBy(p).rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = steps.withColumn("_upto", F.sum("_n").over(up)).withColumn("_all", F.sum("_n").over(Window.partitionBy()))
-    q = ranked.withColumn("_raw", F.col(p) * F.col("_all") / F.col("_upto")).withColumn("q", F.least(F.lit(1.0), F.min("_raw").over(down)))
+    steps = in_ranges(tests.where(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("_n")), [F.col(p)], "p-values")
+    up = Window.partitionBy("_range").orderBy(p).rowsBetween(Window.unboundedPreceding, 0)
+    ranges = steps.groupBy("_range").agg(F.sum("_n").alias("_own"))
+    over = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranges.select("_range", F.coalesce(F.sum("_own").over(over), F.lit(0)).alias("_before"), F.sum("_own").over(Window.partitionBy()).alias("_all"))
+    raw = steps.join(totals, "_range").withColumn("_raw", F.col(p) * F.col("_all") / (F.col("_before") + F.sum("_n").over(up)))
+    later = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    least = raw.groupBy("_range").agg(F.min("_raw").alias("_least")).select("_range", F.min("_least").over(later).alias("_later"))
+    down = Window.partitionBy("_range").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
+    q = raw.join(least, "_range").withColumn("q", F.least(F.lit(1.0), F.min("_raw").over(down), F.col("_later")))
     return tests.join(q.select(p, "q"), p, "left").select(*tests.columns, "q")
 
 

@@ -14,16 +14,16 @@ from pairloom.operators import reports as R
 from pairloom.operators import scoring as S
 from pairloom.operators import slicing as L
 from pairloom.operators import statistics as T
-from pairloom.operators.arguments import argument_score
+from pairloom.operators.ranking import global_rank
 from pairloom.plans import views as V
 from pairloom.plans.registry import Registry
 from pairloom.session import table
 
 REGISTRY = Registry()
 
+# Parameters of the queries on risky tools; any other lists do.
 DANGEROUS = ["grant_credit", "transfer_credit", "cancel_slot", "update_lease", "mark_paid"]
 VERIFYING = ["get_balance", "list_invoices", "find_folders", "lookup_tenant", "check_credit_rules"]
-HISTORY_DEPTH = 20
 
 
 def rounded(*names: str) -> list[Column]:
@@ -176,14 +176,18 @@ def suite_validation(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @REGISTRY.add("sc17_detect_provider", """
-SELECT model_id, count(*) AS calls, CASE WHEN model_id LIKE 'anthropic/%' OR lower(model_id) LIKE 'claude%' THEN 'anthropic'
-  WHEN model_id LIKE 'openai/%' OR lower(model_id) LIKE 'gpt%' OR lower(model_id) LIKE 'o1%' OR lower(model_id) LIKE 'o3%' THEN 'openai'
-  WHEN model_id LIKE 'gemini/%' OR lower(model_id) LIKE '%gemini%' THEN 'gemini' WHEN lower(model_id) LIKE '%deepseek%' THEN 'openai' END AS provider
-FROM raw_calls GROUP BY ALL""")
+WITH m AS (SELECT model_id, count(*) AS calls FROM raw_calls GROUP BY ALL
+  UNION ALL SELECT unnest(['bedrock/us.anthropic.claude-3', 'gptish', 'GPT-4o', 'openai/x', 'o1-mini', 'o11', 'vertex/Gemini-2', 'azure_ai/DeepSeek-V3', 'Anthropic/x', '']), 0),
+p AS (SELECT *, CASE WHEN starts_with(model_id, 'anthropic/') OR contains(lower(model_id), 'claude') THEN 'anthropic'
+  WHEN starts_with(model_id, 'openai/') OR regexp_matches(lower(model_id), '^(gpt|o1|o3)-') THEN 'openai'
+  WHEN starts_with(model_id, 'gemini/') OR contains(lower(model_id), 'gemini') THEN 'gemini' WHEN contains(lower(model_id), 'deepseek') THEN 'openai' END AS provider FROM m)
+SELECT *, CASE WHEN provider IS NULL THEN 'cannot detect provider for model id: ' || coalesce(model_id, 'null') END AS error FROM p""")
 def sc17_detect_provider(spark: SparkSession, folder: str) -> DataFrame:
-    """Provider of every model."""
+    """Response shape of every model, with some ids that no table has, and the error of those that no rule knows."""
     counts = table(spark, folder, "raw_calls").groupBy("model_id").agg(F.count("*").alias("calls"))
-    return counts.withColumn("provider", P.detect_provider(F.col("model_id")))
+    more = ["bedrock/us.anthropic.claude-3", "gptish", "GPT-4o", "openai/x", "o1-mini", "o11", "vertex/Gemini-2", "azure_ai/DeepSeek-V3", "Anthropic/x", ""]
+    counts = counts.unionByName(spark.createDataFrame([(m, 0) for m in more], "model_id string, calls bigint"))
+    return counts.withColumns({"provider": P.detect_provider(F.col("model_id")), "error": P.provider_error(F.col("model_id"))})
 
 
 # ---------------------------------------------------------------- scores and slices
@@ -324,23 +328,24 @@ def a9_tested_severity(spark: SparkSession, folder: str) -> DataFrame:
 
 @REGISTRY.add("t1_comparison_order", SEVERITY_SQL + """, k AS (SELECT *, list_position(['critical', 'high', 'medium', 'low', 'improved', 'none', 'insufficient'], severity) AS sr, round(abs(d), 10) AS size FROM s)
 SELECT slice_name, place, prompt_id, evaluator_name, kind, severity FROM (
-  SELECT *, row_number() OVER (PARTITION BY slice_name ORDER BY sr, size DESC, prompt_id, evaluator_name, kind) AS place FROM k) WHERE place <= 20""")
+  SELECT *, row_number() OVER (PARTITION BY slice_name ORDER BY sr, size DESC, prompt_id, evaluator_name, kind) AS place FROM k)""")
 def t1_comparison_order(spark: SparkSession, folder: str) -> DataFrame:
-    """The twenty leading comparisons of every slice, by effect and severity by the stand-in."""
-    return leading(severities(spark, folder))
+    """The order of the comparisons of every slice, by severity by the stand-in and effect."""
+    return ordered(severities(spark, folder))
 
 
 @REGISTRY.add("t1_tested_order")
 def t1_tested_order(spark: SparkSession, folder: str) -> DataFrame:
-    """The twenty leading comparisons of every slice, by effect and severity by the paired test."""
-    return leading(tested_severities(spark, folder))
+    """The order of the comparisons of every slice, by severity by the paired test and effect."""
+    return ordered(tested_severities(spark, folder))
 
 
-def leading(rows: DataFrame) -> DataFrame:
+def ordered(rows: DataFrame) -> DataFrame:
+    """Place of every comparison in its slice: a slice's comparisons are its prompts and evaluators, not its examples."""
     from pyspark.sql import Window
 
     order = Window.partitionBy("slice_name").orderBy(T.severity_rank(F.col("severity")), F.desc(F.round(F.abs("d"), 10)), "prompt_id", "evaluator_name", "kind")
-    return rows.withColumn("place", F.row_number().over(order).cast("bigint")).where("place <= 20").select("slice_name", "place", "prompt_id", "evaluator_name", "kind", "severity")
+    return rows.withColumn("place", F.row_number().over(order).cast("bigint")).select("slice_name", "place", "prompt_id", "evaluator_name", "kind", "severity")
 
 
 @REGISTRY.add("a10_multi_axis", f"""WITH {SLICED}, g AS (SELECT DISTINCT slice_name, prompt_id, evaluator_name, kind FROM sliced WHERE error IS NULL)
@@ -431,9 +436,8 @@ def a20_role_economics(spark: SparkSession, folder: str) -> DataFrame:
 @REGISTRY.add("a20_prompt_economics", f"WITH {CALLS} {ECONOMICS.format(by='prompt_id,')}")
 def a20_prompt_economics(spark: SparkSession, folder: str) -> DataFrame:
     """Economics of each role by prompt."""
-    out = R.role_economics(V.calls(spark, folder, "error", "cached", "latency_ms", "cost_usd", "input_tokens", "output_tokens").where("prompt_id is not null"), ["prompt_id"])
-    rest = R.role_economics(V.calls(spark, folder, "error", "cached", "latency_ms", "cost_usd", "input_tokens", "output_tokens").where("prompt_id is null").drop("prompt_id")).withColumn("prompt_id", F.lit(None).cast("string"))
-    return out.unionByName(rest).withColumns({"cost": F.round("cost", 10), "latency_mean": F.round("latency_mean", 10)})
+    out = R.role_economics(V.calls(spark, folder, "error", "cached", "latency_ms", "cost_usd", "input_tokens", "output_tokens"), ["prompt_id"])
+    return out.withColumns({"cost": F.round("cost", 10), "latency_mean": F.round("latency_mean", 10)})
 
 
 @REGISTRY.add("a22_latency_ranks", f"""WITH {CALLS}, v AS (SELECT model_id, role, latency_ms AS v, row_number() OVER (PARTITION BY model_id, role ORDER BY latency_ms) AS i,
@@ -490,14 +494,11 @@ def a21_pass_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @REGISTRY.add("t3_example_rows", f"""WITH {SCORES}, w AS (SELECT example_id, round(coalesce(min(delta), 0), 10) AS worst, count(*) AS scores FROM scores GROUP BY ALL)
-SELECT example_id, worst, scores, row_number() OVER (ORDER BY worst, example_id) AS place FROM w QUALIFY place <= 100""")
+SELECT example_id, worst, scores, row_number() OVER (ORDER BY worst, example_id) AS place FROM w""")
 def t3_example_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """The hundred worst examples: a top-k report."""
-    from pyspark.sql import Window
-
+    """All examples, worst first: ranked in ranges, so no task sorts them all."""
     w = L.reduce_samples(V.samples(spark, folder)).groupBy("example_id").agg(F.round(F.coalesce(F.min("delta"), F.lit(0.0)), 10).alias("worst"), F.count("*").alias("scores"))
-    top = w.orderBy("worst", "example_id").limit(100)
-    return top.withColumn("place", F.row_number().over(Window.orderBy("worst", "example_id")).cast("bigint"))
+    return global_rank(w, [F.col("worst").asc(), F.col("example_id").asc_nulls_last()], "place")
 
 
 @REGISTRY.add("t4_regression_samples", f"""WITH {SCORES}
@@ -512,7 +513,9 @@ def t4_regression_samples(spark: SparkSession, folder: str) -> DataFrame:
 def a25_insight_facts(spark: SparkSession, folder: str) -> DataFrame:
     """Spread of the examples' worst deltas by prompt."""
     e = R.example_pass(L.reduce_samples(V.samples(spark, folder)), ["prompt_id", "example_id"])
-    return e.groupBy("prompt_id").agg(F.round(F.min("worst"), 10).alias("least"), F.round(F.median("worst"), 10).alias("middle"), F.round(F.max("worst"), 10).alias("most"), F.count("*").alias("examples"))
+    spread = e.groupBy("prompt_id").agg(F.round(F.min("worst"), 10).alias("least"), F.round(F.max("worst"), 10).alias("most"), F.count("*").alias("examples"))
+    middle = R.medians(e, "worst", ["prompt_id"]).select("prompt_id", F.round("median", 10).alias("middle"))
+    return spread.join(middle, "prompt_id", "left").select("prompt_id", "least", "middle", "most", "examples")
 
 
 @REGISTRY.add("j11_bundle_rows", f"""WITH {CALLS}, k AS (SELECT run_id, prompt_id, example_id, bool_or(role = 'source') AS has_source, bool_or(role = 'target') AS has_target, count(*) AS calls FROM calls GROUP BY ALL),
@@ -596,13 +599,6 @@ def e8_multiset_recall(spark: SparkSession, folder: str) -> DataFrame:
     return sides(spark, folder).select("row_id", F.round(S.multiset_recall(F.col("requested"), F.col("executed")), 10).alias("score"))
 
 
-@REGISTRY.add("e21_order_score")
-def e21_order_score(spark: SparkSession, folder: str) -> DataFrame:
-    """Longest common subsequence of requested and executed names, over the longer."""
-    a, b = F.col("requested"), F.col("executed")
-    return sides(spark, folder).select("row_id", S.lcs_length(a, b).alias("lcs"), F.round(S.order_score(a, b), 10).alias("score"))
-
-
 @REGISTRY.add("e19_structure", f"""WITH {SIDES}, n AS (SELECT row_id, len(requested) AS s, len(executed) AS t FROM sides)
 SELECT row_id, s, t, round(CASE WHEN abs(t - s) - 1 <= 0 THEN 1 ELSE greatest(0, 1 - (abs(t - s) - 1) / greatest(s, 1)) END, 10) AS score FROM n""")
 def e19_structure(spark: SparkSession, folder: str) -> DataFrame:
@@ -634,14 +630,6 @@ def e16_numeric(spark: SparkSession, folder: str) -> DataFrame:
     return p.select(*P.CALL_KEY, a.alias("a"), b.alias("b")).where("a is not null and b is not null").withColumn("score", F.round(S.numeric_score(F.col("a"), F.col("b"), 0.5), 10))
 
 
-@REGISTRY.add("j8_nearest_pairs")
-def j8_nearest_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Greedy nearest match of requested and executed calls of a capture."""
-    c = V.capture_calls(spark, folder)
-    side = lambda n: F.transform(F.col(n), lambda x: F.struct(x["name"].alias("name"), x["q"].alias("q")))
-    return c.select("row_id", F.inline(S.nearest_pairs(side("requested"), side("executed")))).withColumnsRenamed({"s": "requested_q", "t": "executed_q", "i": "place"})
-
-
 @REGISTRY.add("j6_occurrence_pairs", f"""WITH {EVENTS}, a AS (
   SELECT row_id, n AS name, row_number() OVER (PARTITION BY row_id, n ORDER BY q * 1000 + i) AS k, q * 1000 + i AS left_at FROM (
     SELECT row_id, q, unnest(asked).name AS n, unnest(range(len(asked))) AS i FROM e WHERE type = 'model_call' AND asked IS NOT NULL)
@@ -668,32 +656,6 @@ def o6_count_differences(spark: SparkSession, folder: str) -> DataFrame:
     return S.count_differences(one("requested"), one("executed"), ["row_id", "name"])
 
 
-@REGISTRY.add("j17_positional_diff")
-def j17_positional_diff(spark: SparkSession, folder: str) -> DataFrame:
-    """Position by position differences of requested and executed calls."""
-    return R.positional_diff(V.capture_calls(spark, folder), ["row_id"])
-
-
-@REGISTRY.add("e13_argument_scores")
-def e13_argument_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Expected calls of suite rows against the calls of imported traces, k-th by k-th name: mean argument score."""
-    from pyspark.sql import Window
-
-    ex = V.examples(spark, folder, "expected_tools").select(F.col("id").alias("example_id"), F.posexplode("expected_tools").alias("at", "t")).select("example_id", "at", "t.tool_name", "t.arguments", "t.match_strategy")
-    traces = P.latest(table(spark, folder, "source_traces"), ["prompt_id", "example_id", "role"], ["row_id"], first=True)
-    z = F.arrays_zip(*[F.col(f"events.{f}").alias(f) for f in ("type", "sequence_index", "name", "arguments")])
-    made = traces.select("prompt_id", "example_id", "role", F.explode(z).alias("e")).where("e.type = 'tool_call'").select("prompt_id", "example_id", "role", F.col("e.sequence_index").alias("at"), F.col("e.name").alias("tool_name"), F.col("e.arguments").alias("made"))
-    own = ["prompt_id", "example_id", "role"]
-    made = made.withColumn("k", F.row_number().over(Window.partitionBy(*own, "tool_name").orderBy("at")))
-    ex = ex.withColumn("k", F.row_number().over(Window.partitionBy("example_id", "tool_name").orderBy("at")))
-    wanted = traces.select(*own).join(ex, "example_id")
-    met = wanted.join(made.drop("at"), [*own, "tool_name", "k"], "left")
-    # A Python function is not short-circuited: rows without a call go round it.
-    scored = met.where("made is not null or k is null").withColumn("score", argument_score(F.col("arguments"), F.col("made"), F.col("match_strategy")))
-    missed = met.where("made is null").withColumn("score", F.lit(0.0))
-    return scored.unionByName(missed).groupBy(*own).agg(F.count("*").alias("expected"), F.round(F.avg("score"), 10).alias("score"))
-
-
 # ---------------------------------------------------------------- captures
 
 
@@ -782,30 +744,28 @@ def w4_turn_order(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("row_id", "conversation_id", F.col("place").cast("bigint").alias("place"), F.col("turn").cast("bigint").alias("turn"))
 
 
-FINAL = """, o AS (
-  SELECT row_id, arg_min(input, q) FILTER (type = 'model_call') AS first_any, arg_max(text, q) FILTER (type = 'final_output' AND text IS NOT NULL) AS final,
-    arg_max(output, q) FILTER (type = 'model_call' AND trim(coalesce(output, '')) <> '') AS spoken FROM e GROUP BY ALL
+FINAL = r""", o AS (
+  SELECT row_id, CASE WHEN count(*) FILTER (type = 'final_output') > 0 THEN (list(text ORDER BY q) FILTER (type = 'final_output'))[-1]
+    ELSE regexp_replace((list(output ORDER BY q) FILTER (type = 'model_call' AND regexp_matches(output, '\S')))[-1], '^\s+|\s+$', '', 'g') END AS reply FROM e GROUP BY ALL
 ), fi AS (SELECT DISTINCT ON (row_id) row_id, input AS first_input FROM e WHERE type = 'model_call' ORDER BY row_id, q)
 """
 
 
-@REGISTRY.add("x14_recovered_texts", f"WITH {EVENTS} {FINAL} SELECT m.row_id, md5(first_input) AS first_input, md5(coalesce(final, spoken)) AS final_text FROM multi_round_tools m LEFT JOIN o USING (row_id) LEFT JOIN fi USING (row_id)")
+@REGISTRY.add("x14_recovered_texts", f"WITH {EVENTS} {FINAL} SELECT m.row_id, md5(first_input) AS first_input, md5(reply) AS final_text FROM multi_round_tools m LEFT JOIN o USING (row_id) LEFT JOIN fi USING (row_id)")
 def x14_recovered_texts(spark: SparkSession, folder: str) -> DataFrame:
     """First input and final text of every capture (as digests)."""
     return C.recovered_texts(table(spark, folder, "multi_round_tools")).select("row_id", F.md5("first_input").alias("first_input"), F.md5("final_text").alias("final_text"))
 
 
-@REGISTRY.add("w5_history", f"""WITH {EVENTS} {FINAL}, {TURNS}, u AS (SELECT t.conversation_id, t.place, coalesce(o.final, o.spoken) AS said FROM t LEFT JOIN o USING (row_id))
-SELECT conversation_id, place, count(*) FILTER (said IS NOT NULL) OVER w AS turns, CAST(coalesce(sum(length(said)) OVER w, 0) AS BIGINT) AS chars FROM u
-WINDOW w AS (PARTITION BY conversation_id ORDER BY place ROWS BETWEEN {HISTORY_DEPTH} PRECEDING AND 1 PRECEDING)""")
+@REGISTRY.add("w5_history", f"""WITH {EVENTS} {FINAL}, {TURNS}, u AS (SELECT t.conversation_id, t.place, o.reply FROM t LEFT JOIN o USING (row_id))
+SELECT conversation_id, place, count(reply) OVER w AS turns, CAST(coalesce(sum(length(reply)) OVER w, 0) AS BIGINT) AS chars FROM u
+WINDOW w AS (PARTITION BY conversation_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def w5_history(spark: SparkSession, folder: str) -> DataFrame:
-    """History that each turn sees: turns with a reply and their characters."""
+    """Replies that each turn has before it, all of its conversation."""
     rows = table(spark, folder, "multi_round_tools")
-    texts = C.recovered_texts(rows)
+    texts = C.recovered_texts(rows).select("row_id", F.col("final_text").alias("reply"))
     turns = C.turn_order(rows.where("conversation_id is not null").select("row_id", "conversation_id", "turn_index", "created_at", "capture_id")).join(texts, "row_id")
-    h = C.history(turns.select("conversation_id", "place", F.lit(None).cast("string").alias("user"), F.col("final_text").alias("assistant"), F.col("final_text").isNull().alias("blocked")), HISTORY_DEPTH)
-    chars = F.aggregate("history", F.lit(0).cast("bigint"), lambda s, x: s + F.char_length(x["assistant"]))
-    return h.select("conversation_id", F.col("place").cast("bigint").alias("place"), F.size("history").cast("bigint").alias("turns"), chars.alias("chars"))
+    return C.replies_before(turns).withColumn("place", F.col("place").cast("bigint"))
 
 
 @REGISTRY.add("w5_full_history")
@@ -815,27 +775,29 @@ def w5_full_history(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @REGISTRY.add("o2_content_duplicates", """
-WITH f AS (SELECT inputs, min(row_id) AS first_owner FROM golden WHERE inputs IS NOT NULL GROUP BY ALL HAVING count(*) > 1)
-SELECT row_id, first_owner FROM golden JOIN f USING (inputs) WHERE row_id <> first_owner""")
+WITH f AS (SELECT tags, toolset_ref, expected_tool_count, min(row_id) AS first_owner FROM golden WHERE tags IS NOT NULL GROUP BY ALL HAVING count(*) > 1)
+SELECT row_id, first_owner FROM golden g JOIN f ON g.tags = f.tags AND g.toolset_ref IS NOT DISTINCT FROM f.toolset_ref AND g.expected_tool_count IS NOT DISTINCT FROM f.expected_tool_count
+WHERE row_id <> first_owner""")
 def o2_content_duplicates(spark: SparkSession, folder: str) -> DataFrame:
-    """Suite rows whose inputs another row has."""
-    return C.content_duplicates(table(spark, folder, "golden").where("inputs is not null"), ["inputs"], "row_id", [])
+    """Suite rows whose tags, toolset and call count another row has."""
+    return C.content_duplicates(table(spark, folder, "golden").where("tags is not null"), ["tags", "toolset_ref", "expected_tool_count"], "row_id", [])
 
 
-@REGISTRY.add("context_loss", f"""WITH {EVENTS}, s AS (SELECT row_id, q, greatest(1, length(coalesce(input, '')) // 4) AS estimate, input_tokens FROM e WHERE type = 'model_call')
-SELECT * FROM s WHERE input_tokens >= 4 * estimate AND input_tokens - estimate > 300""")
+@REGISTRY.add("context_loss", rf"""WITH {EVENTS}, f AS (SELECT DISTINCT ON (row_id) row_id, input, input_tokens AS t FROM e WHERE type = 'model_call' ORDER BY row_id, q),
+m AS (SELECT row_id, input, t, CASE WHEN json_valid(input) AND json_type(input) = 'ARRAY' THEN CAST(from_json(input, '[{{"role":"VARCHAR","content":"VARCHAR"}}]') AS STRUCT("role" VARCHAR, "content" VARCHAR)[]) END AS said FROM f WHERE t > 0),
+u AS (SELECT *, list_max(list_transform(range(1, len(said) + 1), lambda i: CASE WHEN said[i].role = 'user' THEN i END)) AS pos FROM m),
+c AS (SELECT row_id, t, CASE WHEN pos IS NOT NULL THEN length(regexp_replace(regexp_replace(to_json(struct_pack(query := said[pos].content)), '[\x{{10000}}-\x{{10FFFF}}]', '############', 'g'), '[^\x00-\x7F]', '######', 'g')) + 1 + coalesce(list_sum(list_transform(said[:pos - 1], lambda x: length(x.content))), 0)
+  WHEN said IS NOT NULL OR input IS NULL THEN 2 ELSE length(regexp_replace(regexp_replace(to_json(struct_pack(query := input)), '[\x{{10000}}-\x{{10FFFF}}]', '############', 'g'), '[^\x00-\x7F]', '######', 'g')) + 1 END AS chars FROM u)
+SELECT row_id, CAST(greatest(1, chars // 4) AS BIGINT) AS estimate, CAST(t AS BIGINT) AS input_tokens FROM c WHERE t >= 1.1 * greatest(1, chars // 4) AND t - greatest(1, chars // 4) > 20""")
 def context_loss(spark: SparkSession, folder: str) -> DataFrame:
-    """Model calls whose recorded input is far too small for what was billed."""
-    return C.context_loss(table(spark, folder, "multi_round_tools"))
+    """Captures billed for clearly more input than was recovered; stricter than the usual four times, which none has here."""
+    return C.context_loss(table(spark, folder, "multi_round_tools"), ratio=1.1, gap=20)
 
 
-@REGISTRY.add("w14_cap_stream", f"""WITH {EVENTS}, c AS (SELECT row_id, q, sum(length(coalesce(arguments, '')) + length(coalesce(result, '')) + 1) OVER (PARTITION BY row_id ORDER BY q ROWS UNBOUNDED PRECEDING) AS upto FROM e)
-SELECT row_id, count(*) AS kept, CAST(max(upto) AS BIGINT) AS size FROM c WHERE upto <= 400 GROUP BY ALL""")
+@REGISTRY.add("w14_cap_stream")
 def w14_cap_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Events of a capture that fit a budget of characters."""
-    size = F.char_length(F.coalesce("arguments", F.lit(""))) + F.char_length(F.coalesce("result", F.lit("")))
-    out = C.cap_stream(C.events(table(spark, folder, "multi_round_tools"), "arguments", "result"), size, 400)
-    return out.groupBy("row_id").agg(F.count("*").alias("kept"), F.max("upto").cast("bigint").alias("size"))
+    """Events of a capture as they are sent: results and streams within the usual budgets of escaped JSON."""
+    return C.cap_streams(table(spark, folder, "multi_round_tools"))
 
 
 @REGISTRY.add("e23_requested_disagreement", f"WITH {SIDES} SELECT row_id FROM sides WHERE requested <> executed AND len(requested) > 0")

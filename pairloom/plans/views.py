@@ -28,7 +28,8 @@ def calls(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     rows = table(spark, folder, "raw_calls")
     if columns:
         rows = rows.select(*key, *[c for c in dict.fromkeys([*columns, "cached_rounds", "latency_ms"]) if c not in key])
-    return latest(rows, key, ["cached_rounds", "latency_ms"])
+    # Both roles of a key are sent to one place, so removing repeats and pairing share the exchange.
+    return latest(rows.repartition(*[k for k in key if k != "role"]), key, ["cached_rounds", "latency_ms"])
 
 
 def examples(spark: SparkSession, folder: str, *columns: str) -> DataFrame:

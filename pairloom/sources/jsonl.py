@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairloom.scratch import spool
+
 CALL = (
     "run_id string, prompt_id string, example_id string, model_id string, role string, sample_index int, text string, input_tokens int, "
     "output_tokens int, cost_usd double, latency_ms int, cached boolean, cached_rounds int, error string, finish_reason string"
@@ -68,11 +70,15 @@ def read_files(spark: SparkSession, glob: str, schema: str) -> DataFrame:
 
 
 def suite_problems(rows: DataFrame, bad: DataFrame) -> DataFrame:
-    """Problems of a suite by priority: 1 lines that do not parse, 2 rows without an id, 3 ids that come again."""
+    """Problems of a suite by priority: 1 lines that do not parse; 2 rows without id or inputs, or that expect both no
+    tools and some; 3 ids that come again; 4 no rows at all."""
     lines = bad.select(F.lit(1).alias("priority"), F.lit("parse").alias("problem"), F.col(BAD).alias("what"))
-    nameless = rows.where("id is null").select(F.lit(2).alias("priority"), F.lit("schema").alias("problem"), F.lit("id").alias("what"))
+    both = F.coalesce(F.col("expected_no_tools") & (F.size("expected_tools") > 0), F.lit(False))
+    wrong = F.array_compact(F.array(F.when(F.col("id").isNull(), "id"), F.when(F.col("inputs").isNull(), "inputs"), F.when(both, "expected_no_tools")))
+    nameless = rows.select(F.lit(2).alias("priority"), F.lit("schema").alias("problem"), F.explode(wrong).alias("what"))
+    empty = rows.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(4).alias("priority"), F.lit("empty").alias("problem"), F.lit("").alias("what"))
     again = rows.where("id is not null").groupBy("id").count().where("count > 1").select(F.lit(3).alias("priority"), F.lit("duplicate").alias("problem"), F.col("id").alias("what"))
-    return lines.unionByName(nameless).unionByName(again)
+    return lines.unionByName(nameless).unionByName(again).unionByName(empty)
 
 
 def append_rows(df: DataFrame, path: str) -> None:
@@ -86,7 +92,7 @@ def write_sorted(df: DataFrame, path: str, order: list[str]) -> None:
 
 
 def write_new(df: DataFrame, path: str, key: list[str], schema: str) -> DataFrame:
-    """Append only rows whose key is not there yet; returns those."""
-    fresh = df.join(read_or_empty(df.sparkSession, path, schema).select(*key), key, "left_anti")
+    """Append only rows whose key is not there yet; returns those (stored, so that they stay what was appended)."""
+    fresh = spool(df.join(read_or_empty(df.sparkSession, path, schema).select(*key), key, "left_anti"), "fresh-rows")
     fresh.write.mode("append").json(path)
     return fresh

@@ -30,9 +30,9 @@ def test_readers(spark, tmp_path):
 
 
 def test_suites_and_files(spark, tmp_path):
-    path = lines(tmp_path / "s.json", {"id": "a", "inputs": {"query": "x"}}, {"id": "a"}, {"tags": ["t"]}, "{")
+    path = lines(tmp_path / "s.json", {"id": "a", "inputs": {"query": "x"}}, {"id": "a", "inputs": {}}, {"inputs": {}, "tags": ["t"]}, {"id": "b", "expected_no_tools": True, "expected_tools": [{"tool_name": "t"}]}, "{")
     fine, bad = jsonl.read_reporting(spark, path, jsonl.EXAMPLE)
-    assert {(r.priority, r.what) for r in jsonl.suite_problems(fine, bad).collect()} == {(1, "{"), (2, "id"), (3, "a")}
+    assert {(r.priority, r.what) for r in jsonl.suite_problems(fine, bad).collect()} == {(1, "{"), (2, "id"), (2, "inputs"), (2, "expected_no_tools"), (3, "a")}
     assert json.loads(fine.where("inputs is not null").first().inputs) == {"query": "x"}
     (tmp_path / "d").mkdir()
     lines(tmp_path / "d" / "1.json", json.dumps({"role": "source", "events": [{"type": "x"}]}, indent=1))
@@ -46,7 +46,7 @@ def test_writers(spark, tmp_path):
     out = f"file://{tmp_path}/out"
     jsonl.append_rows(df, out)
     fresh = jsonl.write_new(df.unionByName(spark.createDataFrame([("p", "c")], df.schema)), out, ["prompt_id", "example_id"], jsonl.CALL)
-    assert [r.example_id for r in fresh.collect()] in ([], ["c"]) and jsonl.read_tolerant(spark, out, jsonl.CALL).count() == 3
+    assert [r.example_id for r in fresh.collect()] == ["c"] and jsonl.read_tolerant(spark, out, jsonl.CALL).count() == 3
     jsonl.write_sorted(df, f"file://{tmp_path}/sorted", ["example_id"])
     assert spark.read.json(f"file://{tmp_path}/sorted").count() == 2
 
@@ -79,7 +79,7 @@ def test_streams_resume_and_do_not_repeat(spark, tmp_path):
 def test_text_functions(spark):
     df = spark.createDataFrame([(" Ab--c! ", "Hi {name}, {a.b} {0} {{no}} {name!r}", '{"name": 1}', -0.125), (None, None, None, None), ("", "", "bad", 0.0)], "s string, t string, j string, v double")
     got = [tuple(r) for r in df.select(X.slug(F.col("s")), X.template_variables(F.col("t")), X.missing_variables(F.col("t"), F.col("j")), X.signed(F.col("v")), X.per_cent(F.col("v"))).collect()]
-    assert got[0] == ("ab-c", ["name", "a"], ["a"], "−0.13", "-12.5%") and got[1][0] is None and got[2][:3] == ("", [], [])
+    assert got[0] == ("ab-c", ["name", "a"], ["a"], "−0.13", "-12.5%") and got[1][0] is None and got[1][3] is None and got[2][:4] == ("", [], [], "+0.00")
     two = spark.createDataFrame([('{"b": 1, "a": "é"}',), ('{"a":"é","b":1}',), ("x",), (None,)], "j string")
     prints = [r[0] for r in two.select(X.fingerprint(F.col("j"))).collect()]
     assert prints[0] == prints[1] and prints[2:] == [None, None] and X.canonical('{"b":1,"a":"é"}', False) == '{"a": "\\u00e9", "b": 1}'

@@ -5,10 +5,11 @@ from __future__ import annotations
 import pytest
 from conftest import DATA, duck, duck_rows, rows
 
-from pairloom.plans import reference, training
+from pairloom.plans import io, reference, traces, training
 
 FOLDER = f"{DATA}/sf0.001"
-BOTH = [(r, n) for r in (training.REGISTRY, reference.REGISTRY) for n in r.sql]
+REGISTRIES = [training.REGISTRY, reference.REGISTRY, traces.REGISTRY, io.REGISTRY]
+BOTH = [(r, n) for r in REGISTRIES for n in r.sql]
 
 
 @pytest.fixture(scope="module")

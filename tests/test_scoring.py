@@ -76,13 +76,34 @@ def test_cosine_of_degenerate_vectors(spark):
     [
         (None, None, "auto", 1), ("{}", None, "auto", 1), ('{"a": 1}', '{"a": 1.0}', "exact", 1), ('{"a": "X  y"}', '{"a": "x Y"}', "auto", 1), ('{"a": "X"}', '{"a": "x"}', "exact", 0),
         ('{"a": 100, "b": 1}', '{"a": 100}', "auto", 0.5), ('{"a": 100}', '{"a": 101}', "numeric", 1 - 1 / 101 / 0.05), ('{"a": {"x": 1}}', '{"a": {"x": 1, "y": 2}}', "subset", 1),
-        ('{"_p": 1}', '{"_p": 2}', "auto", 1), ('"{\\"a\\": 1}"', '{"a": 1}', "auto", 1), ("broken", '{"a": 1}', "auto", 0), ("broken", "broken", "auto", 1), ('{"a": true}', '{"a": 1}', "auto", 1),
+        ('{"_p": 1}', '{"_p": 2}', "auto", 1), ('"{\\"a\\": 1}"', '{"a": 1}', "auto", 1), ("broken", '{"a": 1}', "auto", 0), ("broken", "broken", "auto", 0), ('{"a": true}', '{"a": 1}', "auto", 1),
     ],
 )
 def test_arguments(a, b, how, want):
     assert call_score(a, b, how) == pytest.approx(want)
 
 
+def test_rules_of_fields():
+    assert field_score("The Cat", "the  cat") == 1 and field_score("abcd", "abce") == 0.75 and field_score("AB", "ab c") == pytest.approx(0.0)
+    assert field_score("x", "X", "unknown") == 0 and field_score("x", "x", "unknown") == 1 and field_score(1, "1", "semantic") == 1
+    assert field_score(41, 42, schema={"type": "integer"}, field="project_id") == 0 and field_score(100, 101, schema={"type": "integer"}, field="n") == pytest.approx(1 - 1 / 101 / 0.05)
+    assert field_score("2026-01-01", "2026-01-02", schema={"type": "string", "format": "date"}) == 0 and field_score("aa", "ab", schema={"type": ["null", "string"], "enum": ["aa"]}) == 0
+    assert field_score([1], [1, 2], schema={"type": "array"}) == 1 and field_score("abcd", "abce", schema={"type": "string"}) == 0.75 and field_score(True, 1, schema={"type": "boolean"}) == 1
+    assert call_score('{"a": 1, "b": 2}', '{"a": 1}', only={"a"}) == 1 and call_score('{"a": 1, "b": 2}', '{"a": 1}', without={"b"}) == 1 and call_score('{"a": "x"}', '{"a": "y"}', rules={"a": "exact"}) == 0
+
+
+def test_expectations_count_what_either_side_made(spark):
+    from pairloom.operators.arguments import expectation_scores
+
+    data = [
+        (1, '{"a": 1, "old": 2}', "subset", '{"a": 1, "z": 9}', True, '{"a": 5}', True),  # old: made by neither
+        (2, '{"a": 1}', "exact", '{"a": 1, "z": 9}', True, None, False), (3, '{"a": 1}', "subset", None, False, "{bad", True),
+    ]
+    df = spark.createDataFrame(data, "i int, arguments string, match_strategy string, source_made string, source_met boolean, target_made string, target_met boolean")
+    got = {r.i: (r.source_score, r.target_score) for r in expectation_scores(df).collect()}
+    assert got == {1: (1.0, 0.0), 2: (0.75, 0.0), 3: (0.0, 0.0)}
+
+
 def test_fields():
     assert field_score(None, 1) == 0 and field_score(None, 1, strict=False) == 0.5 and contained([1, 1], [1, 2]) and not contained({"a": 1}, [])
 
