@@ -17,10 +17,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.scratch import spool
+from pairloom.scratch import forget, spool
 
-#: Slots a pass: five bisection steps at once.
-SLOTS = 32
+#: Slots a pass: eight bisection steps at once.
+SLOTS = 256
 #: Bytes of an identifier in one code.
 PIECE = 6
 
@@ -46,10 +46,10 @@ def _slot(code: Column, low: Column, high: Column) -> Column:
     return F.least(F.lit(SLOTS - 1), F.floor(part * SLOTS)).cast("int")
 
 
-def cut_level(rows: DataFrame, groups: list[str], need: DataFrame) -> tuple[DataFrame, DataFrame]:
+def cut_level(rows: DataFrame, groups: list[str], need: DataFrame) -> DataFrame:
     """One level of the search. ``rows`` has the groups and ``code``; ``need`` the groups and ``need``.
 
-    Returns (cuts, rows): cuts hold groups, ``low``, ``high``, ``whole`` (all rows up to high belong to the result)
+    Returns cuts: groups, ``low``, ``high``, ``whole`` (all rows up to high belong to the result)
     and ``rest`` (how many of the ties at low = high still do). Runs one job a pass; rows outside the slots are dropped
     from later passes, so the work shrinks by about the number of slots each time.
     """
@@ -61,7 +61,7 @@ def cut_level(rows: DataFrame, groups: list[str], need: DataFrame) -> tuple[Data
         "topn-state",
     )
     done = []
-    active = rows
+    active, used = rows, None
     closed = (F.col("n") <= F.col("need") - F.col("below")) | (F.col("low") == F.col("high"))
     while True:
         done.append(state.where(closed))
@@ -78,11 +78,16 @@ def cut_level(rows: DataFrame, groups: list[str], need: DataFrame) -> tuple[Data
         state = spool(hit.select(*groups, F.col("s_low").alias("low"), F.col("s_high").alias("high"), F.col("s_n").alias("n"), "need", (F.col("below") + F.col("s_before")).alias("below")), "topn-state")
         inside = active.join(state.select(*groups, "low", "high"), groups).where("code between low and high").drop("low", "high")
         active = spool(inside, "topn-active")
+        if used is not None:
+            forget(used)
+        used = active
+    if used is not None:
+        forget(used)
     cuts = done[0]
     for part in done[1:]:
         cuts = cuts.unionByName(part)
     whole = F.col("n") <= F.col("need") - F.col("below")
-    return cuts.select(*groups, "low", "high", whole.alias("whole"), (F.col("need") - F.col("below")).alias("rest")), active
+    return cuts.select(*groups, "low", "high", whole.alias("whole"), (F.col("need") - F.col("below")).alias("rest"))
 
 
 def top_n(df: DataFrame, groups: list[str], score: str, identifier: str, last: str, n: int) -> DataFrame:
@@ -108,7 +113,7 @@ def top_n(df: DataFrame, groups: list[str], score: str, identifier: str, last: s
     chosen = None
     for i, code in enumerate(levels):
         coded = rows.withColumn("code", code)
-        cuts, _ = cut_level(coded, gs, need)
+        cuts = cut_level(coded, gs, need)
         at = coded.join(cuts, gs)
         taken = at.where(F.when(F.col("whole"), F.col("code") <= F.col("high")).otherwise(F.col("code") < F.col("low")))
         taken = taken.select(*gs, "score", "identifier", "last")
