@@ -2,8 +2,8 @@
 
 A conversation is a channel (its conversation_id); captures without one join the channel that their chain of parents
 leads into. The place of a turn is its turn_index, or its parent's place plus one. Ordering by links and indexes stands
-in for ordering by time and splitting at inactivity gaps: the clocks of the captures are unreliable, the links are not,
-and a gap in the places is what an inactivity gap would be. Roles are inferred from their spellings, and conversations
+in for ordering by time and splitting at inactivity gaps (:mod:`pairloom.llm.sessions` does that, and how far the two
+agree): a gap in the places is what an inactivity gap would be. Roles are inferred from their spellings, and conversations
 without a reply to every turn are dropped.
 
 No conversation is gathered: neighbours are compared through the parent link, counts are pre-aggregated, and chains
@@ -122,22 +122,11 @@ def sound_turns(captures: DataFrame, messages: DataFrame) -> DataFrame:
     return checked.join(sound, "conversation_id").select("conversation_id", (F.col("place") - F.col("first")).alias("turn_no"), "capture_id")
 
 
-def dialogues(captures: DataFrame, messages: DataFrame) -> DataFrame:
-    """The messages of the sound conversations in order: conversation_id, turn_no, seq, message_id, role, content.
-
-    One row a message; order by conversation_id, turn_no, seq, message_id. Blank messages are left out.
-    """
-    once = messages.where(F.col("content").rlike(r"(?U)\S")).groupBy("message_id").agg(
-        F.min("capture_id").alias("capture_id"), F.min("seq").alias("seq"), F.min(clean_role(F.col("role"))).alias("role"), F.min("content").alias("content")
-    )
-    return sound_turns(captures, messages).join(once, "capture_id").select("conversation_id", "turn_no", "seq", "message_id", "role", "content")
-
-
 def whole_dialogues(captures: DataFrame, messages: DataFrame) -> DataFrame:
     """Every message of the sound conversations in order, with tool_calls and tool_call_id.
 
-    Like :func:`dialogues`, but blank messages stay: a request for tools often has no content, and the replies of the
-    tools refer to it. Blank content counts for soundness only.
+    One row a message; order by conversation_id, turn_no, seq, message_id. Blank messages stay: a request for tools often
+    has no content, and the replies of the tools refer to it. Blank content counts for soundness only.
     """
     once = messages.groupBy("message_id").agg(
         F.min("capture_id").alias("capture_id"), F.min("seq").alias("seq"), F.min(clean_role(F.col("role"))).alias("role"), F.min("content").alias("content"),

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm.dialogues import dialogues, sound_turns, whole_dialogues
+from pairloom.llm import sessions as by_time
+from pairloom.llm.dialogues import sound_turns, whole_dialogues
 from pairloom.llm.history import replay_batches, rows_of
 from pairloom.llm.mixing import mix, shares
 from pairloom.llm.reading import reading_levels
@@ -59,10 +60,10 @@ WITH RECURSIVE one AS (
 P6_SQL = P6_TURNS + "SELECT conversation_id, turn_no, capture_id FROM turns"
 
 P6_DIALOGUES_SQL = P6_TURNS + r"""
-SELECT conversation_id, turn_no, seq, message_id, role, content FROM turns JOIN (
-  SELECT DISTINCT message_id, capture_id, seq, content,
+SELECT conversation_id, turn_no, seq, message_id, role, content, tool_requests, tool_call_id FROM turns JOIN (
+  SELECT DISTINCT message_id, capture_id, seq, content, coalesce(len(tool_calls), 0) AS tool_requests, tool_call_id,
     CASE lower(trim(role)) WHEN 'human' THEN 'user' WHEN 'model' THEN 'assistant' ELSE lower(trim(role)) END AS role
-  FROM chat_messages WHERE regexp_matches(content, '\S')
+  FROM chat_messages
 ) USING (capture_id)
 """
 
@@ -120,8 +121,9 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 @REGISTRY.add("p6_dialogues", P6_DIALOGUES_SQL)
 def p6_dialogues(spark: SparkSession, folder: str) -> DataFrame:
-    """The messages of the sound conversations, in order and with clean roles."""
-    return dialogues(table(spark, folder, "multi_round_tools"), table(spark, folder, "chat_messages"))
+    """The messages of the sound conversations, in order and with clean roles; tool calls by their number."""
+    whole = whole_dialogues(table(spark, folder, "multi_round_tools"), table(spark, folder, "chat_messages"))
+    return whole.withColumn("tool_requests", F.greatest(F.coalesce(F.size("tool_calls"), F.lit(0)), F.lit(0)).cast("bigint")).drop("tool_calls")
 
 
 @REGISTRY.add("p6_messages")
@@ -130,6 +132,18 @@ def p6_messages(spark: SparkSession, folder: str) -> DataFrame:
     return whole_dialogues(table(spark, folder, "multi_round_tools"), table(spark, folder, "chat_messages"))
 
 
+@REGISTRY.add("p6_sessions")
+def p6_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns of the sessions that times and a calibrated silence give."""
+    return by_time.sessions(table(spark, folder, "multi_round_tools"), table(spark, folder, "chat_messages"), table(spark, folder, "recorders"))
+
+
+@REGISTRY.add("p6_session_agreement")
+def p6_session_agreement(spark: SparkSession, folder: str) -> DataFrame:
+    """How many of the sound conversations the sessions by time give back."""
+    return by_time.agreement(table(spark, folder, "multi_round_tools"), table(spark, folder, "chat_messages"), table(spark, folder, "recorders"))
+
+
 @REGISTRY.add("p8_ids")
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""

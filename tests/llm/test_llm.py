@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pairloom.llm import history as H
 from pairloom.llm import mixing as M
 from pairloom.llm import queries, reading, sketch, tokenizer, topn
-from pairloom.llm.dialogues import dialogues, nearest_ancestor, sound_turns
+from pairloom.llm.dialogues import nearest_ancestor, sound_turns, whole_dialogues
 
 FOLDER = f"{DATA}/sf0.001"
 
@@ -245,11 +245,35 @@ def test_conversations(spark):
     c = spark.createDataFrame(captures, CAPTURE)
     m = spark.createDataFrame(talk(*names, skip={("f0", 1)}) + talk(*names, skip={("f0", 1)}) + [(999, "f0", 9, "assistant", " \n\t "), (1000, None, 0, "user", "x"), (1001, "f0", None, None, None)], MESSAGE)
     assert rows(sound_turns(c, m)) == [("a0", "A", 0), ("a1", "A", 1), ("a2", "A", 2)]
-    d = dialogues(c, m)
-    assert d.count() == 6 and {r.role for r in d.collect()} == {"user", "assistant"}
+    d = whole_dialogues(c, m.withColumns({"tool_calls": F.lit(None).cast("array<string>"), "tool_call_id": F.lit(None).cast("string")}))
+    assert d.count() == 9 and {r.role for r in d.collect()} == {"user", "assistant", "tool"}
     assert rows(sound_turns(c.limit(0), m)) == [] and rows(sound_turns(c, m.limit(0))) == []
 
 
+def test_sessions_split_at_calibrated_silences(spark):
+    from pairloom.llm import sessions as by_time
+
+    minute, hour = 60, 3600
+    at = lambda s: str(1_700_000_000 + s)
+    captures = []
+    for c in range(20):  # two sessions of a channel, days apart; silences of links are minutes
+        for k in range(12):
+            when = k * minute if k < 6 else 50 * hour + k * minute
+            captures.append((f"c{c}_{k:02d}", f"v{c}", k, f"c{c}_{k - 1:02d}" if k % 6 else None, 1, at(c * 1000 + when)))
+    captures += [captures[0], ("late", None, 0, None, 1, at(5)), ("odd", "v0", 0, None, 1, "never")]
+    schema = "capture_id string, conversation_id string, turn_index int, parent_capture_id string, recorder_id int, created_at string"
+    c = spark.createDataFrame(captures, schema)
+    recorders = spark.createDataFrame([(1, "UTC", None)], "recorder_id int, tz_name string, date_order string")
+    m = spark.createDataFrame(talk(*[x[0] for x in captures[:240]], skip={("c3_07", 1)}), MESSAGE)
+    assert 0 < by_time.calibrated_gap(by_time.timed_captures(c, recorders)) <= minute * 1_000_000
+    got = by_time.sessions(c, m, recorders).collect()
+    want = {(f"v{i}", k // 6, k % 6, f"c{i}_{k:02d}") for i in range(20) for k in range(12)}
+    assert {tuple(r) for r in got} == {w for w in want if w[:2] != ("v3", 1)}  # a session with an unanswered capture goes whole
+    assert rows(by_time.sessions(c.limit(0), m, recorders)) == []
+    a = by_time.agreement(c, m, recorders).first()
+    assert a.conversations >= a.in_one_session >= a.same_order >= a.same
+
+
 def test_long_chains(spark):
     n = 300
     data = [(f"n{i}", f"n{i - 1}" if i else None, "root" if i == 0 else None) for i in range(n)] + [("lost", "gone", None)]
