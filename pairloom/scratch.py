@@ -56,6 +56,32 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text as a file of the shared folder, in place of what was there."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """The text of :func:`write_text`."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    source = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(target)
+    try:
+        return bytes(source.readAllBytes()).decode()
+    finally:
+        source.close()
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete everything that this library has put into the shared folder: for the end of a session, once its results
+    are written, as results may read from there."""
+    discard(spark, f"{shared_dir(spark)}/pairloom/")
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a scratch path; only paths under the shared folder's own subfolder are accepted."""
     if not path.startswith(f"{shared_dir(spark)}/pairloom/"):

@@ -86,3 +86,15 @@ def test_text_functions(spark):
     assert rows(spark.sql("select array(named_struct('name', 'a', 'spec', '1'), named_struct('name', 'b', 'spec', '2')) t").select(X.tools_fingerprint(F.col("t")))) == rows(
         spark.sql("select array(named_struct('name', 'b', 'spec', '2'), named_struct('name', 'a', 'spec', '1')) t").select(X.tools_fingerprint(F.col("t")))
     )
+
+
+def test_small_texts_in_the_shared_folder(spark):
+    from pairloom.scratch import discard, new_path, read_text, write_text
+
+    path = new_path(spark, "note")
+    for text in ("one", "zwei – 二"):
+        write_text(spark, path, text)
+        assert read_text(spark, path) == text
+    discard(spark, path)
+    with pytest.raises(ValueError, match="not a scratch path"):
+        discard(spark, "file:///tmp/elsewhere")
