@@ -24,6 +24,7 @@ without a batch number are in no batch.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -32,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.scratch import discard, forget, new_path, release, spool
+from pairloom.scratch import discard, forget, new_path, read_text, release, spool, write_text
 
 MIN_WORDS = 20
 ROWS, BANDS = 6, 64
@@ -178,7 +179,8 @@ class History:
         self._state = f"{self.path}/state"
         self.generation = 0
         if path:
-            self.buckets, self.generation, self.appends = spark.read.json(self._state).select("buckets", "generation", "appends").first()
+            kept = json.loads(read_text(spark, self._state))
+            self.buckets, self.generation, self.appends = kept["buckets"], kept["generation"], kept["appends"]
         else:
             self._keep()
         self._declare()
@@ -189,8 +191,7 @@ class History:
         return cls(spark, path=path)
 
     def _keep(self) -> None:
-        row = [(self.buckets, self.generation, self.appends)]
-        self.spark.createDataFrame(row, "buckets int, generation int, appends int").coalesce(1).write.mode("overwrite").json(self._state)
+        write_text(self.spark, self._state, json.dumps({"buckets": self.buckets, "generation": self.generation, "appends": self.appends}))
 
     def _declare(self) -> None:
         # Keys are random, so a dictionary of them is wasted work.
@@ -265,6 +266,7 @@ class History:
             matched = spool(self.probe(rows), "batch-matched")
         finally:
             self.spark.conf.set(pushed, before)
+        release(self.spark)
         rest = rows.join(matched.select("row_id"), "row_id", "left_anti")
         inside = self._inside(rows, rest)
         found = matched if inside is None else matched.unionByName(inside)
@@ -282,8 +284,8 @@ class History:
         """Rows of :func:`with_classes` that an accepted row before them matches: row_id, kept (the smallest such row)."""
         asked = entries_of(rows, "s0", "s1")
         held = self._table("entries").select("key", F.col("proof").alias("held_proof"), F.col("doc").alias("other"))
-        few = [r[0] for r in asked.select("key").distinct().limit(FEW_KEYS + 1).collect()] if rows.count() <= FEW_KEYS else []
-        if few and len(few) <= FEW_KEYS:
+        few = [r[0] for r in asked.select("key").limit(FEW_KEYS + 1).collect()]
+        if 0 < len(few) <= FEW_KEYS:
             # So few keys reach the scan as a filter: other buckets and pages of the sorted files are not read.
             held = held.where(F.col("key").isin(few))
         met = asked.hint("shuffle_hash").join(held, "key").where(F.col("proof").bitwiseXOR(F.col("held_proof")) == 0)
