@@ -68,11 +68,9 @@ def is_kind(name: Column, kind: Column, wanted: str, legacy: str | None = None)
 
 
 def advisory_names(comparisons: DataFrame, rows: DataFrame) -> DataFrame:
-    """Evaluators that gate nothing: evaluator_name. By their records; those without any by the note of a comparison."""
-    by_rows = rows.groupBy("evaluator_name").agg(F.bool_or("blocking").alias("gates"))
-    noted = comparisons.where(F.exists("notes", lambda n: n.startswith("advisory"))).select("evaluator_name").distinct()
-    known = by_rows.select("evaluator_name")
-    return by_rows.where("not gates").select("evaluator_name").unionByName(noted.join(known, "evaluator_name", "left_anti"))
+    """Evaluators that gate nothing: evaluator_name. Told by any record or, as silent ones have none, by a comparison's note."""
+    noted = comparisons.where(F.exists("notes", lambda n: n.startswith("advisory"))).select("evaluator_name")
+    return rows.where("not blocking").select("evaluator_name").unionByName(noted).distinct()
 
 
 def unmeasured_gates(comparisons: DataFrame, rows: DataFrame) -> DataFrame:

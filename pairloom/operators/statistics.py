@@ -38,6 +38,14 @@ def moments(rows: DataFrame, group: list[str] = GROUP) -> DataFrame:
     )
 
 
+def with_silent(compared: DataFrame, rows: DataFrame, group: list[str] = GROUP) -> DataFrame:
+    """Comparisons with n and ``notes``, and a row with n = 0 and a note for every group in which nothing was measured."""
+    silent = rows.groupBy(*group).agg(F.count_if(F.col("error").isNull()).alias("n"), F.count("*").alias("all")).where("n = 0")
+    note = F.concat(F.lit("nothing measured: "), F.col("all").cast("string"), F.lit(" failed"))
+    heard = compared.select(*group, "n", F.array().cast("array<string>").alias("notes"))
+    return heard.unionByName(silent.select(*group, "n", F.array(note).alias("notes")))
+
+
 def benjamini_hochberg(tests: DataFrame, p: str, order: list[str]) -> DataFrame:
     """Add ``q``: p times the number of tests over its rank, made monotone from the right and at most 1.
 

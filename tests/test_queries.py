@@ -5,10 +5,10 @@ from __future__ import annotations
 import pytest
 from conftest import DATA, duck, duck_rows, rows
 
-from pairloom.plans import io, reference, traces, training
+from pairloom.plans import io, reference, suites, traces, training
 
 FOLDER = f"{DATA}/sf0.001"
-REGISTRIES = [training.REGISTRY, reference.REGISTRY, traces.REGISTRY, io.REGISTRY]
+REGISTRIES = [training.REGISTRY, reference.REGISTRY, traces.REGISTRY, io.REGISTRY, suites.REGISTRY]
 BOTH = [(r, n) for r in REGISTRIES for n in r.sql]
 
 
