@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import statistics
 
 import numpy as np
 import pandas as pd
@@ -116,3 +117,25 @@ def test_reports_take_their_severity_from_the_paired_test(spark, tmp_path):
     assert got["a9_tested_severity"]["w"].severity == "insufficient"
     worst = REGISTRY.queries["a34_tested_summary"](spark, str(tmp_path)).first()
     assert (worst.worst, worst.comparisons, worst.blocking) == (2, 1, 0)
+
+
+def test_global_ranks_and_medians(spark):
+    import random
+
+    from pairloom.operators.ranking import global_rank
+    from pairloom.operators.reports import medians
+
+    rng = random.Random(4)
+    data = [(i, rng.choice("abc"), rng.choice([None, 1.0, 2.5, float(rng.randrange(50))])) for i in range(400)]
+    df = spark.createDataFrame(data, "i int, g string, v double")
+    ranked = {r.i: r.place for r in global_rank(df, [F.col("v").asc_nulls_last(), F.col("i").asc()], "place").collect()}
+    assert ranked == {i: k + 1 for k, (i, _, _) in enumerate(sorted(data, key=lambda d: (d[2] is None, d[2] or 0, d[0])))}
+    assert global_rank(df.limit(0), [F.col("v").asc()], "place").count() == 0
+    want = {g: statistics.median([v for _, h, v in data if h == g and v is not None]) for g in "abc"}
+    assert {r.g: r.median for r in medians(df, "v", ["g"]).collect()} == want
+
+
+def test_groups_in_which_nothing_was_measured_get_a_row(spark):
+    df = spark.createDataFrame([("a", 0.1, None), ("a", None, "x"), ("b", None, "x"), ("b", None, "y")], "k string, delta double, error string")
+    got = {r.k: (r.n, r.notes) for r in T.with_silent(T.moments(df, ["k"]), df, ["k"]).collect()}
+    assert got == {"a": (1, []), "b": (0, ["nothing measured: 2 failed"])}
