@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairloom.scratch import discard, forget, new_path, read_text, release, spool, write_text
@@ -269,15 +269,16 @@ class History:
         release(self.spark)
         rest = rows.join(matched.select("row_id"), "row_id", "left_anti")
         inside = self._inside(rows, rest)
+        release(self.spark)
         found = matched if inside is None else matched.unionByName(inside)
         cases = spool(found.select(F.col("kept").alias("kept_row_id"), F.col("row_id").alias("dup_row_id")), "cases")
         good = rows.join(cases.select(F.col("dup_row_id").alias("row_id")), "row_id", "left_anti")
         # A text enters the index by its first accepted row, which need not be the first row of the batch with it.
-        firsts = good.where("doc is not null").groupBy("doc").agg(F.min("row_id").alias("first"))
+        firsts = spool(good.where("doc is not null").groupBy("doc").agg(F.min("row_id").alias("first")), "batch-firsts")
         texts = rows.where("bands is not null").select("doc", "words", "s0", "s1", "bands").join(firsts, "doc").select(F.col("first").alias("row_id"), F.array().cast("array<struct<key:bigint,proof:bigint>>").alias("keys"), "words", "s0", "s1", "bands")
         none = [F.lit(None).cast(t).alias(c) for c, t in (("words", "array<bigint>"), ("s0", "bigint"), ("s1", "bigint"), ("bands", "array<bigint>"))]
         self.accept(good.select("row_id", "keys", *none).unionByName(texts))
-        forget(rows, matched)
+        forget(rows, matched, firsts)
         return cases
 
     def probe(self, rows: DataFrame) -> DataFrame:
@@ -307,22 +308,21 @@ class History:
         bare = rest.select("row_id", "keys", *[F.lit(None).cast(t).alias(c) for c, t in (("s0", "bigint"), ("s1", "bigint"), ("bands", "array<bigint>"))])
         own = texts.select("row_id", F.array().cast("array<struct<key:bigint,proof:bigint>>").alias("keys"), "s0", "s1", "bands")
         every = entries_of(bare.unionByName(own), "s0", "s1")
-        several = every.groupBy("key", "proof").agg(F.count("*").alias("n")).where("n > 1")
-        shared = spool(every.join(several, ["key", "proof"]), "batch-shared")
+        shared = spool(every.withColumn("n", F.count("*").over(Window.partitionBy("key", "proof"))).where("n > 1"), "batch-shared")
         size, largest = shared.agg(F.count("*"), F.max(F.when(F.col("proof") == 0, F.col("n")))).first()
         if not size:
             forget(shared)
             return None
         pairs = near_inside(shared, texts.select("doc", "words"), rest.select(F.col("row_id").alias("doc")), largest or 0)
         key_of = rows.where("bands is not null").select("doc", "text")
-        edge = pairs.join(key_of, "doc").withColumnRenamed("text", "mine").join(key_of.select(F.col("doc").alias("other"), F.col("text").alias("theirs")), "other").select("mine", "theirs")
+        # Written, as the links need both directions: their plan would hold that of the pairs four times.
+        edge = spool(pairs.join(key_of, "doc").withColumnRenamed("text", "mine").join(key_of.select(F.col("doc").alias("other"), F.col("text").alias("theirs")), "other").select("mine", "theirs"), "batch-edges")
         both = edge.unionByName(edge.select(F.col("theirs").alias("mine"), F.col("mine").alias("theirs"))).distinct()
         # Links: a row owns its keys, and is held up by the owners of texts near its own.
         owned = rest.select("row_id", F.explode("keys").alias("key"), F.lit(True).alias("own"))
         foreign = rest.where("text is not null").join(both, F.col("text") == F.col("mine")).select("row_id", F.col("theirs").alias("key"), F.lit(False).alias("own"))
         linked = owned.unionByName(foreign)
-        repeated = linked.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-        links = spool(linked.join(repeated, "key"), "batch-links")
+        links = spool(linked.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").drop("n"), "batch-links")
         state = links.select("row_id").distinct().withColumn("accepted", F.lit(None).cast("boolean"))
         past = []
         while not state.where("accepted is null").isEmpty():
@@ -340,7 +340,7 @@ class History:
         final = links.join(state, "row_id")
         first_in = final.where("own and accepted").groupBy("key").agg(F.min("row_id").alias("kept"))
         inside = spool(final.where("not accepted").join(first_in, "key").where("kept < row_id").groupBy("row_id").agg(F.min("kept").alias("kept")), "batch-inside")
-        forget(shared, links, *past)
+        forget(shared, edge, links, *past)
         return inside
 
 

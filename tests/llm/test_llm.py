@@ -178,6 +178,21 @@ def test_an_index_goes_on_in_another_session_and_is_read_by_key(spark, monkeypat
     assert 0 < read[3000] < 3 * read[300] + 2000 and read[3000] < 3000 * 64 / 4
 
 
+def test_a_batch_leaves_small_plans_to_the_driver(spark):
+    # The driver keeps every node's metrics of a session's last thousand plans, and of each that adaptive execution made on the way.
+    base = [[f"t{f}i{i}" for i in range(30)] for f in range(8)]
+    data = [(100 * b + 12 * k + f, b, None, None, " ".join([*base[f][: 30 - k], *[f"x{f}k{k}j{j}" for j in range(k)]])) for b in (1, 2) for k in range(6) for f in range(4 * b - 4, 4 * b)]
+    df = spark.createDataFrame(data, "row_id bigint, batch_no int, own_id string, hash string, request string")
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    got = {tuple(r) for r in H.replay_batches(df).collect()}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert got == brute(data) and len(got) == 40
+    plans = store.executionsList(before, store.executionsCount() - before)
+    sizes = [plans.apply(i).metrics().size() for i in range(plans.size())]
+    assert len(sizes) < 1000 and max(sizes) < 2500 and sum(sizes) / 2 < 11_000, (max(sizes), sum(sizes) / 2, len(sizes))
+
+
 def _scanned(plan, table):
     """Rows that the scans of a table read."""
     if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
