@@ -154,6 +154,21 @@ def entries_of(rows: DataFrame, *more: str) -> DataFrame:
     return rows.select(F.col("row_id").alias("doc"), *more, F.inline(F.concat("keys", bands)))
 
 
+def standing(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """What rows of :func:`with_classes` that are not ``gone`` (row_id) stand for: src, exact, id. Each brings its own keys
+    (exact, ``src`` and ``id`` are the row), and each text that is left is at the row ``src``, ``id`` being the first left."""
+    left = rows.select("row_id", "doc").join(gone.select("row_id"), "row_id", "left_anti")
+    both = F.array(F.struct(F.col("row_id").alias("src"), F.lit(True).alias("exact")), F.struct(F.col("doc").alias("src"), F.lit(False).alias("exact")))
+    return left.select("row_id", F.inline(both)).where("src is not null").groupBy("src", "exact").agg(F.min("row_id").alias("id"))
+
+
+def placed(rows: DataFrame, stands: DataFrame) -> DataFrame:
+    """``rows`` as :func:`standing` says, by id: keys where exact, else the text (words, s0, s1, bands)."""
+    keys = F.when(F.col("exact"), F.col("keys")).otherwise(F.array().cast("array<struct<key:bigint,proof:bigint>>"))
+    text = [F.when(~F.col("exact"), F.col(c)).alias(c) for c in ("words", "s0", "s1", "bands")]
+    return rows.drop("doc", "text").join(stands, F.col("row_id") == F.col("src")).select(F.col("id").alias("row_id"), keys.alias("keys"), *text)
+
+
 def alike(a0: str, a1: str, b0: str, b1: str) -> Column:
     """Whether two sketches agree well enough for words to be compared."""
     return F.bit_count(F.col(a0).bitwiseXOR(F.col(b0))) + F.bit_count(F.col(a1).bitwiseXOR(F.col(b1))) <= SKETCH - AGREE
@@ -267,19 +282,14 @@ class History:
         finally:
             self.spark.conf.set(pushed, before)
         release(self.spark)
-        rest = rows.join(matched.select("row_id"), "row_id", "left_anti")
-        inside = self._inside(rows, rest)
+        inside = self._inside(rows, matched)
         release(self.spark)
         found = matched if inside is None else matched.unionByName(inside)
-        cases = spool(found.select(F.col("kept").alias("kept_row_id"), F.col("row_id").alias("dup_row_id")), "cases")
-        good = rows.join(cases.select(F.col("dup_row_id").alias("row_id")), "row_id", "left_anti")
         # A text enters the index by its first accepted row, which need not be the first row of the batch with it.
-        firsts = spool(good.where("doc is not null").groupBy("doc").agg(F.min("row_id").alias("first")), "batch-firsts")
-        texts = rows.where("bands is not null").select("doc", "words", "s0", "s1", "bands").join(firsts, "doc").select(F.col("first").alias("row_id"), F.array().cast("array<struct<key:bigint,proof:bigint>>").alias("keys"), "words", "s0", "s1", "bands")
-        none = [F.lit(None).cast(t).alias(c) for c, t in (("words", "array<bigint>"), ("s0", "bigint"), ("s1", "bigint"), ("bands", "array<bigint>"))]
-        self.accept(good.select("row_id", "keys", *none).unionByName(texts))
-        forget(rows, matched, firsts)
-        return cases
+        stands = spool(standing(rows, found), "batch-standing")
+        self.accept(placed(rows, stands))
+        forget(rows, stands)
+        return found.select(F.col("kept").alias("kept_row_id"), F.col("row_id").alias("dup_row_id"))
 
     def probe(self, rows: DataFrame) -> DataFrame:
         """Rows of :func:`with_classes` that an accepted row before them matches: row_id, kept (the smallest such row)."""
@@ -293,65 +303,67 @@ class History:
         met = met.select("doc", "s0", "s1", "other", (F.col("proof") != 0).alias("exact")).repartition(self.buckets, "other").distinct()
         docs = self._table("docs").select(F.col("doc").alias("other"), F.col("words").alias("other_words"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))
         passed = met.join(docs, "other", "left").where(F.col("exact") | alike("s0", "s1", "t0", "t1"))
-        texts = rows.where("words is not null").select("doc", "words")
-        found = passed.join(texts, "doc", "left").where(F.col("exact") | enough_common("words", "other_words")).select("doc", "exact", "other")
+        found = passed.join(rows.select(F.col("row_id").alias("doc"), "words"), "doc").where(F.col("exact") | enough_common("words", "other_words")).select("doc", "exact", "other")
         # An exact key speaks for its row, a near text for all rows that have it.
         means = rows.select("row_id", F.inline(F.array(F.struct(F.col("row_id").alias("doc"), F.lit(True).alias("exact")), F.struct("doc", F.lit(False).alias("exact")))))
         return found.join(means, ["doc", "exact"]).where("other < row_id").groupBy("row_id").agg(F.min("other").alias("kept"))
 
-    def _inside(self, rows: DataFrame, rest: DataFrame) -> DataFrame | None:
-        """Cases among ``rest`` whose match is an accepted row of the same batch: row_id, kept; None if none can be.
+    def _inside(self, rows: DataFrame, matched: DataFrame) -> DataFrame | None:
+        """Cases among the rows not ``matched`` whose match is an accepted row of the same batch: row_id, kept (stored);
+        None if none can be.
 
         Only entries whose key comes more than once go on.
         """
-        texts = rows.where("bands is not null").join(rest.select("doc").distinct(), "doc", "left_semi")
-        bare = rest.select("row_id", "keys", *[F.lit(None).cast(t).alias(c) for c, t in (("s0", "bigint"), ("s1", "bigint"), ("bands", "array<bigint>"))])
-        own = texts.select("row_id", F.array().cast("array<struct<key:bigint,proof:bigint>>").alias("keys"), "s0", "s1", "bands")
-        every = entries_of(bare.unionByName(own), "s0", "s1")
+        every = entries_of(placed(rows, standing(rows, matched).withColumn("id", F.col("src"))), "s0", "s1")
         shared = spool(every.withColumn("n", F.count("*").over(Window.partitionBy("key", "proof"))).where("n > 1"), "batch-shared")
         size, largest = shared.agg(F.count("*"), F.max(F.when(F.col("proof") == 0, F.col("n")))).first()
         if not size:
             forget(shared)
             return None
-        pairs = near_inside(shared, texts.select("doc", "words"), rest.select(F.col("row_id").alias("doc")), largest or 0)
-        key_of = rows.where("bands is not null").select("doc", "text")
+        release(self.spark)
+        undecided = rows.select("row_id").join(matched.select("row_id"), "row_id", "left_anti").select(F.col("row_id").alias("doc"))
         # Written, as the links need both directions: their plan would hold that of the pairs four times.
-        edge = spool(pairs.join(key_of, "doc").withColumnRenamed("text", "mine").join(key_of.select(F.col("doc").alias("other"), F.col("text").alias("theirs")), "other").select("mine", "theirs"), "batch-edges")
+        edge = spool(near_inside(shared, rows.where("words is not null").select("doc", "words", "text"), undecided, largest or 0).select("mine", "theirs"), "batch-edges")
+        release(self.spark)
         both = edge.unionByName(edge.select(F.col("theirs").alias("mine"), F.col("mine").alias("theirs"))).distinct()
         # Links: a row owns its keys, and is held up by the owners of texts near its own.
-        owned = rest.select("row_id", F.explode("keys").alias("key"), F.lit(True).alias("own"))
-        foreign = rest.where("text is not null").join(both, F.col("text") == F.col("mine")).select("row_id", F.col("theirs").alias("key"), F.lit(False).alias("own"))
-        linked = owned.unionByName(foreign)
-        links = spool(linked.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").drop("n"), "batch-links")
+        owned = rows.select("row_id", F.explode("keys").alias("key"), F.lit(True).alias("own"))
+        foreign = rows.where("text is not null").select("row_id", "text").join(both, F.col("text") == F.col("mine")).select("row_id", F.col("theirs").alias("key"), F.lit(False).alias("own"))
+        linked = owned.unionByName(foreign).join(matched.select("row_id"), "row_id", "left_anti")
+        by_key = Window.partitionBy("key")
+        links = spool(linked.withColumn("n", F.count("*").over(by_key)).where("n > 1").drop("n"), "batch-links")
         state = links.select("row_id").distinct().withColumn("accepted", F.lit(None).cast("boolean"))
+        first_in = F.min(F.when(F.col("own") & F.col("accepted"), F.col("row_id"))).over(by_key)
+        first_open = F.min(F.when(F.col("own") & F.col("accepted").isNull(), F.col("row_id"))).over(by_key)
         past = []
         while not state.where("accepted is null").isEmpty():
-            now = links.join(state, "row_id")
-            owners = now.where("own").groupBy("key").agg(F.min(F.when(F.col("accepted"), F.col("row_id"))).alias("first_in"), F.min(F.when(F.col("accepted").isNull(), F.col("row_id"))).alias("first_open"))
             seen = (
-                now.where("accepted is null")
-                .join(owners, "key", "left")
+                links.join(state, "row_id")
+                .select("row_id", "accepted", first_in.alias("first_in"), first_open.alias("first_open"))
+                .where("accepted is null")
                 .groupBy("row_id")
                 .agg(F.coalesce(F.bool_or(F.col("first_in") < F.col("row_id")), F.lit(False)).alias("hit"), F.coalesce(F.bool_or(F.col("first_open") < F.col("row_id")), F.lit(False)).alias("held"))
                 .select("row_id", F.when(F.col("hit"), False).when(~F.col("held"), True).alias("accepted"))
             )
             state = spool(state.where("accepted is not null").unionByName(seen), "batch-state")
             past.append(state)
-        final = links.join(state, "row_id")
-        first_in = final.where("own and accepted").groupBy("key").agg(F.min("row_id").alias("kept"))
-        inside = spool(final.where("not accepted").join(first_in, "key").where("kept < row_id").groupBy("row_id").agg(F.min("kept").alias("kept")), "batch-inside")
+        kept = links.join(state, "row_id").select("row_id", "accepted", first_in.alias("kept")).where("not accepted and kept < row_id")
+        inside = spool(kept.groupBy("row_id").agg(F.min("kept").alias("kept")), "batch-inside")
         forget(shared, edge, links, *past)
         return inside
 
 
-def verified(candidates: DataFrame, words: DataFrame) -> DataFrame:
-    """Which candidates (doc, other) are near-identical, by ``words`` (doc, words)."""
-    mine = candidates.join(words, "doc")
-    return mine.join(words.select(F.col("doc").alias("other"), F.col("words").alias("other_words")), "other").where(enough_common("words", "other_words")).select("doc", "other")
+def verified(candidates: DataFrame, texts: DataFrame) -> DataFrame:
+    """Which candidates (doc, other) are near-identical, by ``texts`` (doc, words, text): doc, other and their texts, mine
+    and theirs."""
+    mine = candidates.join(texts.withColumnRenamed("text", "mine"), "doc")
+    theirs = texts.select(F.col("doc").alias("other"), F.col("words").alias("other_words"), F.col("text").alias("theirs"))
+    return mine.join(theirs, "other").where(enough_common("words", "other_words")).select("doc", "other", "mine", "theirs")
 
 
-def near_inside(shared: DataFrame, words: DataFrame, undecided: DataFrame, largest: int) -> DataFrame:
-    """Near-identical texts within a batch: doc, other (the smaller), at least for every other that may be accepted.
+def near_inside(shared: DataFrame, texts: DataFrame, undecided: DataFrame, largest: int) -> DataFrame:
+    """Near-identical texts within a batch: doc, other (the smaller), mine and theirs (the keys of both texts), at least
+    for every other that may be accepted.
 
     ``shared``: entries (key, proof, doc, s0, s1) whose key comes more than once; ``undecided``: the rows (doc) that
     may be accepted; ``largest``: how often the most frequent band key comes. Candidates of one band meet in a join that
@@ -370,7 +382,7 @@ def near_inside(shared: DataFrame, words: DataFrame, undecided: DataFrame, large
         sure = spool(firsts.join(able, "doc", "left_semi"), "batch-sure")
         leads = ranked.where("doc = first").join(sure, "doc").select("key", F.col("doc").alias("other"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))
         met = mine.join(leads, "key").where((F.col("other") < F.col("doc")) & alike("s0", "s1", "t0", "t1"))
-        pairs = spool(verified(met.select("doc", "other").distinct(), words), "batch-pairs")
+        pairs = spool(verified(met.select("doc", "other").distinct(), texts), "batch-pairs")
         found.append(pairs)
         other = spool(other.join(sure.unionByName(pairs.select("doc")).distinct(), "doc", "left_anti"), "batch-open")
         mine = mine.join(sure, "doc", "left_anti")
@@ -380,7 +392,7 @@ def near_inside(shared: DataFrame, words: DataFrame, undecided: DataFrame, large
         largest = now
     band = other.select("key", F.col("doc").alias("other"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))
     met = mine.join(band, "key").where((F.col("other") < F.col("doc")) & alike("s0", "s1", "t0", "t1"))
-    out = verified(met.select("doc", "other").distinct(), words)
+    out = verified(met.select("doc", "other").distinct(), texts)
     for pairs in found:
         out = out.unionByName(pairs)
     return out

@@ -193,6 +193,22 @@ def test_a_batch_leaves_small_plans_to_the_driver(spark):
     assert len(sizes) < 1000 and max(sizes) < 2500 and sum(sizes) / 2 < 11_000, (max(sizes), sum(sizes) / 2, len(sizes))
 
 
+def test_the_plans_of_a_batch_do_not_repeat_its_parts(spark):
+    # Copies, near texts and shared identifiers: no plan may be made of several copies of the batch's rows and matches.
+    base = [[f"t{f}i{i}" for i in range(30)] for f in range(6)]
+    near = lambda f, k: " ".join([*base[f][: 30 - k], *[f"x{f}k{k}j{j}" for j in range(k)]])
+    data = [(100 * b + 12 * k + f, b, f"c:{b}{k % 4}{f}" if f % 2 else None, None, near(f, k // 2)) for b in (1, 2) for k in range(6) for f in range(3 * b - 3, 3 * b)]
+    df = spark.createDataFrame(data, "row_id bigint, batch_no int, own_id string, hash string, request string")
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    got = {tuple(r) for r in H.replay_batches(df).collect()}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert got == brute(data) and len(got) == 30
+    plans = store.executionsList(before, store.executionsCount() - before)
+    sizes = [plans.apply(i).metrics().size() for i in range(plans.size())]
+    assert max(sizes) < 1200 and sum(sizes) / 2 < 8000, (max(sizes), sum(sizes) / 2, len(sizes))
+
+
 def _scanned(plan, table):
     """Rows that the scans of a table read."""
     if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
